@@ -36,7 +36,7 @@ def _combine(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield from t.select(["field_name", "term", "hash", "occurrences_sum", "records_sum"]).rename_columns(PARTIAL.names).cast(PARTIAL).to_batches()
 
     for b in batches:
-        held.append(b)
+        held += pa.Table.from_batches([b]).cast(PARTIAL).to_batches()
         have += b.num_rows
         if have >= rows:
             held, have = list(flush()), 0
@@ -99,7 +99,7 @@ def _radix_aggregate(batches: Iterator[pa.RecordBatch], folder: str, memory_mb:
             yield from leaf(source)
             return
         for b in source:
-            held.append(b)
+            held += pa.Table.from_batches([b]).cast(PARTIAL).to_batches()
             size += b.nbytes
             if size > limit:
                 spill()
