@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm import leximin, mixing, packing, pieces, terms
+from reelspan.llm import leximin, mixing, neighbours, packing, pieces, terms
 from reelspan.session import once, table
 
 SCORES = ["text_score", "image_score", "audio_score"]
@@ -24,6 +24,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return top.select("query_id", "video", "scene_id")
 
 
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar other scenes of every scene, by text and by image."""
+    v = table(spark, d, "segment_vectors")
+    both = [neighbours.nearest(v, "ord", f"{m}_vec").select(F.lit(m).alias("modality"), "id", "neighbour", "cosine") for m in ("text", "image")]
+    return both[0].unionByName(both[1])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = p2_neighbours(spark, d).where("cosine >= 0.80")
+    return pairs.select("modality", F.least("id", "neighbour").cast("int").alias("ord_a"), F.greatest("id", "neighbour").cast("int").alias("ord_b")).distinct()
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     seg = once(table(spark, d, "segments").select("video", "scene_id", "subtitle", "audio_events", "ingested_at"), ["video", "scene_id"])
     per = F.explode(F.array(
@@ -93,7 +105,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_ranking, p3_found, p3_terms, p6_found, p6_assignment, p6_usage, p7_found, p7_selection, p7_shares, p8_found, p8_pieces]
+    names = [p1_found, p1_ranking, p2_found, p2_neighbours, p3_found, p3_terms, p6_found, p6_assignment, p6_usage, p7_found, p7_selection, p7_shares, p8_found, p8_pieces]
     return {f.__name__: f for f in names}
 
 
