@@ -159,15 +159,15 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, params: I
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)[use]
             prints = np.array([xxhash.xxh3_64_intdigest(v.tobytes()) for v in x], np.uint64).view(np.int64)
-            picked = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(every) == 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(prints), pa.array([v.tobytes() if t else None for v, t in zip(x, picked)], pa.binary())], ["id", "print", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(prints)], ["id", "print"])
 
-    seen = cut_lineage(rows.mapInArrow(scan, "id bigint, print bigint, vec binary"))
+    seen = cut_lineage(rows.mapInArrow(scan, "id bigint, print bigint"))
     n = seen.count()
     limit = max(p.heavy_least, int(n * p.heavy_share))
-    sample = seen.where("vec IS NOT NULL").select("vec").limit(4 * p.sample).toArrow()["vec"].to_pylist()
-    if not sample and n:  # few rows, none of them picked by the hash
-        sample = [bytes(r[0]) for r in rows.mapInArrow(_raw, "vec binary").limit(p.sample).collect()]
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(every)) == 0)
+    sample = picked.mapInArrow(_raw, "vec binary").limit(4 * p.sample).toArrow()["vec"].to_pylist()
+    if not sample and n:  # few usable rows, none of them picked by the hash
+        sample = rows.mapInArrow(_raw, "vec binary").limit(p.sample).toArrow()["vec"].to_pylist()
     if not sample:
         return spark.createDataFrame([], NEIGHBOURS)
     width = max(set(map(len, sample)), key=[len(v) for v in sample].count)
