@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm import leximin, mixing, neighbours, packing, pieces, terms
+from reelspan.llm import leximin, markup, mixing, neighbours, packing, pieces, terms
 from reelspan.session import once, table
 
 SCORES = ["text_score", "image_score", "audio_score"]
@@ -55,6 +55,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_terms(spark, d).where("band IS NOT NULL").select("field_name", "term", "band")
 
 
+def _scenes(spark: SparkSession, d: str) -> DataFrame:
+    return once(table(spark, d, "segments").select("video", "scene_id", "subtitle", "ingested_at"), ["video", "scene_id"]).drop("ingested_at")
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The clean text of every scene and the notations it was written in."""
+    return markup.without_markup(_scenes(spark, d), "subtitle").drop("subtitle")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    some = _scenes(spark, d).where(markup.may_hold_markup(F.col("subtitle")))
+    return markup.without_markup(some, "subtitle").where(F.size("notations") > 0).select("video", "scene_id")
+
+
 def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, or of every piece of those larger than the capacity."""
     return packing.containers(table(spark, d, "documents"), table(spark, d, "containers"))
@@ -105,7 +119,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_ranking, p2_found, p2_neighbours, p3_found, p3_terms, p6_found, p6_assignment, p6_usage, p7_found, p7_selection, p7_shares, p8_found, p8_pieces]
+    names = [p1_found, p1_ranking, p2_found, p2_neighbours, p3_found, p3_terms, p5_found, p5_clean, p6_found, p6_assignment, p6_usage, p7_found, p7_selection, p7_shares, p8_found, p8_pieces]
     return {f.__name__: f for f in names}
 
 
