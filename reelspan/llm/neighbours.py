@@ -17,7 +17,8 @@ from reelspan.session import cut_lineage
 class IndexParams:
     """``lists_factor`` times the root of the number of vectors is the number of lists, at most ``max_lists``, which bounds the
     broadcast centroids; ``sample``: rows that centroids and codebooks are fitted on (every row is indexed); ``margin``, ``max_copies``: a vector is also put into the lists whose centroid is by
-    at most ``margin`` less similar than its nearest, up to ``max_copies`` lists; ``subspaces``: bytes of a code; ``rerank``: candidates
+    at most ``margin`` less similar than its nearest, up to ``max_copies`` lists, and into as many of the nearest as a list of average
+    size needs to give a query ``least_candidates`` (one, in a large collection); ``subspaces``: bytes of a code; ``rerank``: candidates
     of which the similarity is computed exactly."""
 
     lists_factor: float = 0.8
@@ -25,6 +26,7 @@ class IndexParams:
     sample: int = 16_384
     margin: float = 0.05
     max_copies: int = 4
+    least_candidates: int = 900
     subspaces: int = 64
     rerank: int = 96
     iterations: int = 8
@@ -181,6 +183,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, params: I
     for r in first.collect():
         copies.setdefault(r["print"], []).append(r["id"])
     copies = {key: sorted(v) for key, v in copies.items()}
+    standing = max(1, min(len(centroids), int(p.least_candidates * len(centroids) / max(1, n))))
     model = spark.sparkContext.broadcast((centroids, books, copies))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,13 +201,13 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, params: I
                 ids, x = ids[keep], x[keep]
             unit = _unit(x)
             near = unit @ cents.T
-            c = min(p.max_copies, len(cents))
+            c = min(max(p.max_copies, standing), len(cents))
             lists = np.argpartition(-near, c - 1, axis=1)[:, :c] if c < len(cents) else np.repeat(np.arange(c)[None], len(x), 0)
             sims = np.take_along_axis(near, lists, 1)
             best = sims.max(1, keepdims=True)
             home = np.zeros(sims.shape, bool)
             home[np.arange(len(x)), sims.argmax(1)] = True
-            row, slot = np.nonzero(sims >= best - p.margin)
+            row, slot = np.nonzero((sims >= best - p.margin) | (sims >= -np.sort(-sims, 1)[:, standing - 1 : standing]))
             at = lists[row, slot]
             codes = encode(unit[row] - cents[at], books)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * 4), len(row), [None, pa.py_buffer(np.ascontiguousarray(x[row]))])
