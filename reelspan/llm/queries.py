@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm import leximin, markup, mixing, neighbours, packing, pieces, terms
+from reelspan.llm import encoding, leximin, markup, mixing, neighbours, packing, pieces, terms
 from reelspan.session import once, table
 
 SCORES = ["text_score", "image_score", "audio_score"]
@@ -59,6 +59,15 @@ def _scenes(spark: SparkSession, d: str) -> DataFrame:
     return once(table(spark, d, "segments").select("video", "scene_id", "subtitle", "ingested_at"), ["video", "scene_id"]).drop("ingested_at")
 
 
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes with misread lines and their text as it was written, as far as it can be told."""
+    return encoding.restored(_scenes(spark, d), "subtitle").where("misread > 0").drop("subtitle")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_restored(spark, d).select("video", "scene_id")
+
+
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     """The clean text of every scene and the notations it was written in."""
     return markup.without_markup(_scenes(spark, d), "subtitle").drop("subtitle")
@@ -119,7 +128,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_ranking, p2_found, p2_neighbours, p3_found, p3_terms, p5_found, p5_clean, p6_found, p6_assignment, p6_usage, p7_found, p7_selection, p7_shares, p8_found, p8_pieces]
+    names = [p1_found, p1_ranking, p2_found, p2_neighbours, p3_found, p3_terms, p4_found, p4_restored, p5_found, p5_clean, p6_found, p6_assignment, p6_usage, p7_found, p7_selection, p7_shares, p8_found, p8_pieces]
     return {f.__name__: f for f in names}
 
 
