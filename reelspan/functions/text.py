@@ -101,9 +101,9 @@ def keyword_bonus(ratio: Column, hits: Column, most: float = 0.05) -> Column:
 
 
 def fmt_time(seconds: Column) -> Column:
-    """``MM:SS.ss``; rounded to hundredths first, minutes are not carried: 59.999 is 00:60.00."""
+    """``MM:SS.ss``; rounded to hundredths first, what is a tie in decimals upwards; minutes are not carried: 59.999 is 00:60.00."""
     m = F.floor(seconds / 60)
-    return F.format_string("%02d:%05.2f", m.cast("int"), F.round(seconds - 60 * m, 2))
+    return F.format_string("%02d:%05.2f", m.cast("int"), F.floor((seconds - 60 * m) * 100 + 0.500001) / 100)
 
 
 def frame_pooling(label: Column, long: bool = True) -> Column:

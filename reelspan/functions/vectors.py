@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def matrix(col: pa.Array, width: int | None = None) -> np.ndarray:
@@ -36,10 +38,19 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _normalized(vecs: pd.Series) -> pd.Series:
+    out = []
+    for v in vecs:
+        x = None if v is None else np.asarray(v, np.float64)
+        n = 0.0 if x is None else float(np.sqrt(x @ x))
+        out.append(None if x is None or np.isnan(n) else x if n == 0 else x / n)
+    return pd.Series(out, dtype=object)
+
+
 def l2_normalize(c: Column) -> Column:
     """A vector of length 1; a zero vector and null stay as they are, NaN components make the vector null."""
-    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(~F.isnan(norm), F.when(norm == 0, F.transform(c, lambda x: x.cast("double"))).otherwise(F.transform(c, lambda x: x.cast("double") / norm)))
+    return _normalized(c)
 
 
 def dot(a: Column, b: Column) -> Column:

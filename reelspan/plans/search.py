@@ -21,7 +21,7 @@ CANDIDATES = "query_id int, ord bigint, video string, scene_id int, hybrid_score
 def _vectors(rows: list, field: str) -> np.ndarray:
     vecs = [r[field] for r in rows]
     width = next((len(v) for v in vecs if v is not None), 1)
-    return unit(matrix(pa.array(vecs, pa.list_(pa.float32())), width)).astype(np.float32)
+    return unit(matrix(pa.array(vecs, pa.list_(pa.float32())), width))
 
 
 def hybrid_search(queries: DataFrame, scenes: DataFrame, settings: Settings = Settings(), top_k: int | None = None, block: int = 2048) -> DataFrame:
