@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from reelspan.functions.scores import FLAT
 from reelspan.functions.text import characters_in, classify_query
 from reelspan.functions.vectors import matrix, score_batches, unit
+from reelspan.session import cut_lineage
 from reelspan.settings import Settings
 
 MODES = ("text", "image", "audio")
@@ -37,6 +38,7 @@ def hybrid_search(queries: DataFrame, scenes: DataFrame, settings: Settings = Se
     the ranges and for the fused scores, and are not shuffled. Of each task only ranges and the ``top_k`` of each query leave.
     """
     spark = queries.sparkSession
+    queries = cut_lineage(queries.select("query_id", "query_text", *[f"{m}_vec" for m in MODES]))  # read for the blocks and for the classes
     k = settings.retrieval.top_k if top_k is None else top_k
     names, boost = list(settings.characters), settings.retrieval.character_boost
     q = queries.select("query_id", classify_query(F.col("query_text")).alias("label"), characters_in(F.col("query_text"), names).alias("names"), *[f"{m}_vec" for m in MODES])
@@ -70,8 +72,8 @@ def _search_block(spark, scenes: DataFrame, rows: list, names: list[str], boost:
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                yield b.slice(i, 256)
+            for i in range(0, b.num_rows, 512):
+                yield b.slice(i, 512)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = high = None
@@ -96,30 +98,42 @@ def _search_block(spark, scenes: DataFrame, rows: list, names: list[str], boost:
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(qids)
-        best = np.full((n, 0), -np.inf)
-        keep: list[np.ndarray] = [np.zeros((n, 0))] * 4
+        # of each query the best so far: fused, ord, place in ``who``, the three similarities
+        best = np.full((n, k), -np.inf)
+        ords = np.full((n, k), -1, np.int64)
+        at = np.full((n, k), -1, np.int64)
+        kept = np.zeros((3, n, k))
         who: list[tuple] = []
-        at = np.zeros((n, 0), np.int64)
         for b, sims in score_batches(slices(batches), box.value):
             s = [sims[f"{m}_vec"] for m in MODES]
             fused = sum(w * ((x - lo) / wd) for w, x, lo, wd in zip(weights, s, low, width))
             if names:
                 has = np.array([[x in (row or []) for x in names] for row in b.column(3).to_pylist()], float).reshape(b.num_rows, len(names))
                 fused = fused + boost * (has @ named.T)
-            ords = b.column(0).to_numpy(zero_copy_only=False)
-            all_s = np.concatenate([best, fused.T], 1)
-            all_at = np.concatenate([at, np.tile(np.arange(b.num_rows) + len(who), (n, 1))], 1)
-            who += list(zip(ords.tolist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
-            order_key = np.array([w[0] for w in who])[all_at]
-            order = np.lexsort((-order_key, -all_s), axis=1)[:, :k]
-            best, at = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_at, order, 1)
-            keep = [np.take_along_axis(np.concatenate([old, x.T], 1), order, 1) for old, x in zip(keep, [*s, fused])]
-            used, at_new = np.unique(at, return_inverse=True)
-            who, at = [who[i] for i in used], at_new.reshape(at.shape)
-        flat = [who[i] for i in at.ravel()]
+            hits = fused.T >= best[:, -1:]
+            who_now = b.column(0).to_numpy(zero_copy_only=False)
+            for i in np.nonzero(hits.any(1))[0]:
+                new = np.nonzero(hits[i])[0]
+                if len(new) > 4 * k:
+                    new = new[fused[new, i] >= np.partition(fused[new, i], len(new) - k)[len(new) - k]]
+                v = np.concatenate([best[i], fused[new, i]])
+                o = np.concatenate([ords[i], who_now[new]])
+                order = np.lexsort((-o, -v))[:k]
+                place = np.concatenate([at[i], len(who) + new])
+                best[i], ords[i], at[i] = v[order], o[order], place[order]
+                for m in range(3):
+                    kept[m, i] = np.concatenate([kept[m, i], s[m][new, i]])[order]
+            used = np.unique(at[at >= len(who)])
+            fresh = {int(p): j + len(who) for j, p in enumerate(used)}
+            base, videos, numbers = len(who), b.column(1), b.column(2)
+            who += [(videos[int(p) - base].as_py(), numbers[int(p) - base].as_py()) for p in used]
+            moved = at >= base
+            at[moved] = [fresh[int(p)] for p in at[moved]]
+        q, slot = np.nonzero(np.isfinite(best))
+        flat = [who[i] for i in at[q, slot]]
         yield pa.RecordBatch.from_pydict({
-            "query_id": pa.array(np.repeat(qids, at.shape[1]), pa.int32()), "ord": pa.array([w[0] for w in flat], pa.int64()), "video": pa.array([w[1] for w in flat], pa.string()), "scene_id": pa.array([w[2] for w in flat], pa.int32()),
-            "hybrid_score": best.ravel(), "text_score": keep[0].ravel(), "image_score": keep[1].ravel(), "audio_score": keep[2].ravel(),
+            "query_id": pa.array(qids[q], pa.int32()), "ord": pa.array(ords[q, slot], pa.int64()), "video": pa.array([w[0] for w in flat], pa.string()), "scene_id": pa.array([w[1] for w in flat], pa.int32()),
+            "hybrid_score": best[q, slot], "text_score": kept[0][q, slot], "image_score": kept[1][q, slot], "audio_score": kept[2][q, slot],
         })
 
     return scenes.mapInArrow(top, CANDIDATES)
