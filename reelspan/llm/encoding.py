@@ -393,8 +393,10 @@ def restored(texts: DataFrame, text: str, vocabulary_share: float = 1e-5) -> Dat
     """``texts`` with ``restored`` (the text as it was written, as far as can be told), ``misread`` and ``unrestored`` (tokens).
 
     Null stays null with no misread tokens; a text of ASCII only comes out as it is. The model is one broadcast of
-    bounded size (see ``corpus_model``); texts are independent of each other, and whole.
+    bounded size (see ``corpus_model``); texts are independent of each other, and whole. Columns of ``texts`` that are called
+    like the three new ones are replaced.
     """
+    texts = texts.drop("restored", "misread", "unrestored")
     m = corpus_model(texts, text, vocabulary_share)
     box = texts.sparkSession.sparkContext.broadcast((m.words, m.chars, m.steps))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)

@@ -380,6 +380,11 @@ def without_markup(df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``clean`` and ``notations`` (empty where there is no markup). Texts are independent: no shuffle.
 
     Null, empty and blank texts come out as they are, with no notations. Very long texts are read whole: a notation's
-    span, not a text, has a greatest length.
+    span, not a text, has a greatest length. Columns of ``df`` that are called ``clean`` or ``notations`` are replaced.
     """
-    return df.withColumn("_m", _clean(F.col(text))).withColumn("clean", F.col("_m.clean")).withColumn("notations", F.col("_m.notations")).drop("_m")
+    kept = [c for c in df.columns if c not in ("clean", "notations")]
+    box = "_cleaned"
+    while box in kept:
+        box += "_"
+    both = df.select(*[F.col(f"`{c}`") for c in kept], _clean(F.col(f"`{text}`")).alias(box))
+    return both.select(*[F.col(f"`{c}`") for c in kept], F.col(f"{box}.clean").alias("clean"), F.col(f"{box}.notations").alias("notations"))
