@@ -46,7 +46,7 @@ _WIKI_TABLE = re.compile(r"\{\|(.{0,20000}?)\n\|\}", re.S)
 _WIKI_HEAD = re.compile(r"(?:^|(?<=\s))(={2,6})[ \t]*([^=\n]{1,200}?)[ \t]*\1(?=\s|$)")
 _HEAD = re.compile(r"^(?P<h>#{1,6})[ \t]+(?P<t>\S[^\n]{0,300}?)[ \t]*#*$|(?<=[ \t])(?P<h2>#{1,6})[ \t]+(?P<t2>[^\s#\d][^\n#]{0,300}?)[ \t]*(?=\n)", re.M)
 _QUOTES = re.compile(r"'''''(?=\S)(.{1,500}?\S)'''''|'''(?=\S)(.{1,500}?[^\s']|[^\s'])'''(?!')|(?<!')''(?=[^\s'])(.{1,500}?[^\s']|[^\s'])''(?!')")
-_BOLD = re.compile(r"(?<![*\\])\*\*(?=[^\s*])([^*\n]{0,%d}?[^\s*])\*\*(?!\*)|(?<![\w\\_])__(?=[^\s_])((?:[^_\n]|_(?!_)){0,%d}?[^\s_])__(?![\w_])" % (SPAN, SPAN))
+_BOLD = re.compile(r"(?<![*\\])\*\*(?=[^\s*])([^*\n]{0,%d}?[^\s*])\*\*(?!\*)|(?<![\w\\_])__(?=[^\s_])((?:[^_\n]|_(?!_)){0,%d}?[^\s_])__(?![\w_]|\.\w)" % (SPAN, SPAN))
 _ITALIC = re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]{0,%d}?[^\s*])\*(?![\w*])|(?<![\w_\\/])_(?=[^\s_])([^_\n]{0,300}?[^\s_])_(?![\w_/])" % SPAN)
 _STRIKE = re.compile(r"(?<![~\\])~~(?=[^\s~])([^~\n]{0,%d}?[^\s~])~~(?!~)" % SPAN)
 _MD_TABLE = re.compile(r"(?P<head>\|[^\n]{1,2000}\|)[ \t]*\n[ \t]*\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+(?:[ \t]*:?-{3,}:?[ \t]*)?(?P<rows>(?:\n[ \t]*\|[^\n]{0,2000})*)")

@@ -120,7 +120,7 @@ def select_documents(documents: DataFrame, plan: DataFrame, seed: int = 42) -> D
     mid = F.col("total_before") + F.col("size") / 2
     end = F.col("flow_from") + F.col("flow_size")
     # laps whose copy of the middle is at or after x: none before the first
-    laps = lambda x: F.greatest(F.lit(0), F.ceil((x - mid) / F.col("group_total")))
+    laps = lambda x: F.greatest(F.lit(0), F.ceil(F.try_divide(x - mid, F.col("group_total"))))
     return (
         tape.join(F.broadcast(flows), F.col("pattern") == F.col("p")).where("group_total > 0")
         .withColumn("repeats", (laps(end) - laps(F.col("flow_from"))).cast("int"))
@@ -134,4 +134,4 @@ def reached(selected: DataFrame, plan: DataFrame) -> DataFrame:
     want = plan.where("pattern IS NULL").select("mix_id", "source", "quota", "flow_size", "out_of_reach")
     all_ = want.join(got, ["mix_id", "source"], "left").fillna(0, ["got", "most_repeats", "n_docs"])
     sums = all_.groupBy("mix_id").agg(F.sum("got").alias("_sum"))
-    return all_.join(sums, "mix_id").withColumn("actual_share", F.round(F.col("got") / F.col("_sum"), 6)).drop("_sum")
+    return all_.join(sums, "mix_id").withColumn("actual_share", F.round(F.coalesce(F.try_divide(F.col("got"), F.col("_sum")), F.lit(0.0)), 6)).drop("_sum")
