@@ -22,7 +22,7 @@ SUBTITLE_SUFFIXES = (".srt", ".ass", ".ssa")
 
 
 def _files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """``path, file, name`` of the files right under ``root`` with one of the suffixes, in any letter case."""
+    """``path, file, name`` of the files right under ``root`` with one of the suffixes, in any letter case; empty files are left out."""
     if root.startswith("/") and not os.path.isdir(root):
         raise FileNotFoundError(root)
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(root + "/*").select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
