@@ -95,3 +95,90 @@ def build_or_load(spark: SparkSession, segments: DataFrame, path: str, manifest:
     build(segments).write.mode("overwrite").parquet(path + "/vectors")
     spark.createDataFrame([(want,)], "value string").coalesce(1).write.mode("overwrite").text(path + "/manifest")
     return spark.read.parquet(path + "/vectors"), True
+
+
+def _device(device: str) -> str:
+    import torch
+
+    return ("cuda" if torch.cuda.is_available() else "cpu") if device == "auto" else device
+
+
+def _unit_rows(x, keep: list[bool]) -> list:  # noqa: ANN001
+    """Rows of a tensor at length 1, None where an item could not be read."""
+    v = (x / x.norm(dim=-1, keepdim=True)).detach().cpu().numpy()
+    rows = iter(v)
+    return [next(rows) if k else None for k in keep]
+
+
+def clip_encoder(model: str, kind: str = "image", device: str = "auto") -> Encoder:
+    """Pictures (by path) or texts in the space of a CLIP model, by the transformers library, where it is installed."""
+    import transformers
+
+    class Clip:
+        name = f"{model}/{kind}"
+        _parts = None
+
+        def encode(self, items: list[str]) -> list:
+            import torch
+
+            if Clip._parts is None:
+                Clip._parts = transformers.CLIPModel.from_pretrained(model).to(_device(device)), transformers.CLIPProcessor.from_pretrained(model)
+            net, prepare = Clip._parts
+            with torch.no_grad():
+                if kind == "text":
+                    return _unit_rows(net.get_text_features(**prepare(text=items, return_tensors="pt", padding=True, truncation=True).to(net.device)), [True] * len(items))
+                pictures = [_picture(p) for p in items]
+                some = [p for p in pictures if p is not None]
+                if not some:
+                    return [None] * len(items)
+                return _unit_rows(net.get_image_features(**prepare(images=some, return_tensors="pt").to(net.device)), [p is not None for p in pictures])
+
+    return Clip()
+
+
+def _picture(path: str):  # noqa: ANN202
+    from PIL import Image
+
+    try:
+        return Image.open(path).convert("RGB")
+    except OSError:
+        return None
+
+
+def clap_encoder(model: str, kind: str = "audio", rate: int = 48_000, device: str = "auto") -> Encoder:
+    """Wave files (by path) or texts in the space of a CLAP model, by the transformers library, where it is installed.
+
+    ``rate`` is the files' rate; it must be the one the model was made for, else its features are meaningless.
+    """
+    import transformers
+
+    from reelspan.sources.media import load_wav
+
+    class Clap:
+        name = f"{model}/{kind}/{rate}"
+        _parts = None
+
+        def encode(self, items: list[str]) -> list:
+            import torch
+
+            if Clap._parts is None:
+                Clap._parts = transformers.ClapModel.from_pretrained(model).to(_device(device)), transformers.ClapProcessor.from_pretrained(model)
+                want = Clap._parts[1].feature_extractor.sampling_rate
+                if want != rate:
+                    raise ValueError(f"{model} needs {want} samples a second, not {rate}")
+            net, prepare = Clap._parts
+            with torch.no_grad():
+                if kind == "text":
+                    return _unit_rows(net.get_text_features(**prepare(text=items, return_tensors="pt", padding=True, truncation=True).to(net.device)), [True] * len(items))
+                waves = [load_wav(open(p, "rb").read()) if p else None for p in items]
+                some = [w for w in waves if w is not None and len(w)]
+                if not some:
+                    return [None] * len(items)
+                return _unit_rows(net.get_audio_features(**prepare(audios=some, sampling_rate=rate, return_tensors="pt").to(net.device)), [w is not None and bool(len(w)) for w in waves])
+
+    return Clap()
+
+
+def zero_filled(df: DataFrame, column: str, width: int) -> DataFrame:
+    """Missing vectors as zeros, as a dense matrix has them; their similarity to anything is 0."""
+    return df.withColumn(column, F.coalesce(column, F.array_repeat(F.lit(0.0).cast("float"), width)))
