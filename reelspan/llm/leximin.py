@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.operators.prefix import join_by, running_total
+from reelspan.session import cut_lineage
 
 #: Percentiles are whole millionths in 0..STEPS-1; places closer than that are equal.
 STEPS = 1_000_000
@@ -22,7 +23,7 @@ def percentiles(items: DataFrame, group: str, keys: list[str], scores: list[str]
     long = items.select(F.col(group).alias("_g"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], entry.alias("e"))
     ids = [f"_k{i}" for i in range(len(keys))]
     long = long.select("_g", *ids, "e.m", F.when(~F.isnan("e.v"), F.col("e.v")).alias("v"))
-    values = long.where("v IS NOT NULL").groupBy("_g", "m", "v").agg(F.count("*").alias("n"))
+    values = cut_lineage(long.where("v IS NOT NULL").groupBy("_g", "m", "v").agg(F.count("*").alias("n")))
     place = running_total(values, ["_g", "m"], "v", "n").select(
         "_g", "m", "v", F.least(F.floor((F.col("total_before") + F.col("n") / 2) / F.col("group_total") * STEPS), F.lit(STEPS - 1)).alias("p"),
         (F.col("n") == F.col("group_total")).alias("flat"),
@@ -52,7 +53,7 @@ def leximin_rank(items: DataFrame, group: str, keys: list[str], scores: list[str
     packed: Column = F.lit(0).cast("bigint")
     for i in range(min(3, len(scores))):
         packed = packed * STEPS + F.col("leximin")[i]
-    own = own.withColumn("_worse", -packed)
+    own = cut_lineage(own.withColumn("_worse", -packed))
     sizes = own.groupBy(group, "_worse").agg(F.count("*").alias("_n"))
     ahead = running_total(sizes, [group], "_worse", "_n").select(group, "_worse", "total_before")
     at = join_by(own, ahead, [group, "_worse"])

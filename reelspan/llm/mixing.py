@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.operators.prefix import running_total
-from reelspan.session import small_rows
+from reelspan.session import cut_lineage, small_rows
 
 
 def min_cost_flow(sizes: list[int], member: list[list[int]], quotas: list[Fraction], repeats: list[int]) -> dict[tuple[int, int], Fraction]:
@@ -115,7 +115,8 @@ def select_documents(documents: DataFrame, plan: DataFrame, seed: int = 42) -> D
     laps. The positions are running totals by ranges of the hash, so no pattern is held by one task.
     """
     docs = documents.select("doc_id", F.col("size").cast("bigint").alias("size"), F.sort_array(F.array_distinct(F.coalesce("sources", F.array().cast("array<string>")))).alias("pattern"), F.xxhash64("doc_id", F.lit(seed)).alias("h"))
-    tape = running_total(docs.where(F.size("pattern") > 0), ["pattern"], "h", "size", ties=["doc_id"])
+    # sizes without texts, read several times below
+    tape = running_total(cut_lineage(docs.where(F.size("pattern") > 0)), ["pattern"], "h", "size", ties=["doc_id"])
     flows = plan.where("pattern IS NOT NULL").select("mix_id", "source", F.col("pattern").alias("p"), "flow_from", "flow_size")
     mid = F.col("total_before") + F.col("size") / 2
     end = F.col("flow_from") + F.col("flow_size")

@@ -60,11 +60,19 @@ def _radix_aggregate(batches: Iterator[pa.RecordBatch], folder: str, memory_mb:
     from pyarrow import fs
 
     limit = memory_mb * 1_000_000
-    files, root = fs.FileSystem.from_uri(folder)
-    run = f"{root}/terms-{uuid.uuid4().hex}"
+    name = f"terms-{uuid.uuid4().hex}"
+    local = folder.startswith(("file:", "/"))
+    place: list = []
+
+    def spill_to() -> tuple:
+        """File system and folder of this attempt, first asked for when something must be spilled."""
+        if not place:
+            files, root = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://"))
+            place.extend((files, f"{root}/{name}"))
+        return tuple(place)
 
     def leaf(tables: list[pa.RecordBatch] | Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        con = duckdb.connect(config={"threads": 1, "memory_limit": f"{max(64, 3 * memory_mb)}MB", "temp_directory": run if isinstance(files, fs.LocalFileSystem) else ""})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": f"{max(64, 3 * memory_mb)}MB", "temp_directory": f"{spill_to()[1]}/duckdb" if local else ""})
         try:
             part = pa.RecordBatchReader.from_batches(PARTIAL, tables)  # noqa: F841 - named in the SQL
             total = con.sql("SELECT field_name, term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM part GROUP BY ALL")
@@ -72,7 +80,7 @@ def _radix_aggregate(batches: Iterator[pa.RecordBatch], folder: str, memory_mb:
         finally:
             con.close()
 
-    def split(source: Iterator[pa.RecordBatch], start: int, path: str) -> Iterator[pa.RecordBatch]:
+    def split(source: Iterator[pa.RecordBatch], start: int, below: str) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size, parts = 0, 1 << bits
         sinks: dict[int, tuple] = {}
@@ -86,8 +94,9 @@ def _radix_aggregate(batches: Iterator[pa.RecordBatch], folder: str, memory_mb:
                 rows = (digit == d).nonzero()[0]
                 if len(rows):
                     if d not in sinks:
-                        files.create_dir(path, recursive=True)
-                        out = files.open_output_stream(f"{path}/{d}.arrow")
+                        files, root = spill_to()
+                        files.create_dir(root + below, recursive=True)
+                        out = files.open_output_stream(f"{root}{below}/{d}.arrow")
                         sinks[d] = (out, ipc.new_stream(out, PARTIAL, options=ipc.IpcWriteOptions(compression="zstd")))
                     sub = t.take(pa.array(rows))
                     sinks[d][1].write_table(sub)
@@ -113,16 +122,19 @@ def _radix_aggregate(batches: Iterator[pa.RecordBatch], folder: str, memory_mb:
         for out, sink in sinks.values():
             sink.close()
             out.close()
+        files, root = spill_to()
         for d in sinks:
-            with files.open_input_stream(f"{path}/{d}.arrow") as f:
+            part = f"{root}{below}/{d}.arrow"
+            with files.open_input_stream(part) as f:
                 stored = ipc.open_stream(f)
-                yield from split(stored, start + bits, f"{path}/{d}") if sizes[d] > limit else leaf(iter(stored))
-            files.delete_file(f"{path}/{d}.arrow")
+                yield from split(stored, start + bits, f"{below}/{d}") if sizes[d] > limit else leaf(iter(stored))
+            files.delete_file(part)
 
     try:
-        yield from split(iter(batches), used_bits, run)
+        yield from split(iter(batches), used_bits, "")
     finally:
-        if files.get_file_info(run).type != fs.FileType.NotFound:
+        files, run = spill_to() if place else (None, "")
+        if files and files.get_file_info(run).type != fs.FileType.NotFound:
             files.delete_dir(run)
 
 
