@@ -101,6 +101,69 @@ first_at AS (SELECT query_id, min_by(s.scene_id, s.scene_id) AS scene_id, any_va
 q AS MATERIALIZED (SELECT g.query_id, g.query_text, u.t, u.i, u.a FROM g LEFT JOIN first_at f USING (query_id) LEFT JOIN units u ON u.video = f.video AND u.scene_id = f.scene_id)"""
 
 
+_HYBRID = QVEC + f""",
+l AS (SELECT *, len(list_intersect({_TOKENS}, {_list(ACTION_WORDS)})) AS x, len(list_intersect({_TOKENS}, {_list(DIALOGUE_WORDS)})) AS y, list_filter({_list(CHARACTERS)}, lambda n: contains(lower(query_text), n)) AS names FROM q),
+p AS (SELECT query_id, query_text, CASE WHEN x > y THEN 'action' WHEN y > x THEN 'dialogue' ELSE 'mixed' END AS label, names, u.ord, u.video, u.scene_id, greatest(0.0, coalesce(list_inner_product(u.t, l.t), 0)) AS t, greatest(0.0, coalesce(list_inner_product(u.i, l.i), 0)) AS i, greatest(0.0, coalesce(list_inner_product(u.a, l.a), 0)) AS a FROM l, units u),
+pr AS (SELECT query_id, min(t) AS lt, max(t) AS ht, min(i) AS li, max(i) AS hi, min(a) AS la, max(a) AS ha FROM p GROUP BY 1),
+f AS (SELECT p.*, s.scene_start, s.scene_end, s.subtitle, ({_weight(0)}) * (CASE WHEN ht - lt > 1e-8 THEN (t - lt) / (ht - lt) ELSE 0 END) + ({_weight(1)}) * (CASE WHEN hi - li > 1e-8 THEN (i - li) / (hi - li) ELSE 0 END) + ({_weight(2)}) * (CASE WHEN ha - la > 1e-8 THEN (a - la) / (ha - la) ELSE 0 END)
+      + CASE WHEN len(names) > 0 THEN 0.3 * len(list_filter(names, lambda n: contains(lower(coalesce(s.subtitle, '')), n))) / len(names) ELSE 0 END AS fused FROM p JOIN pr USING (query_id) LEFT JOIN scenes s ON s.video = p.video AND s.scene_id = p.scene_id),
+k AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, ord DESC) AS rank_pos FROM f) WHERE rank_pos <= 10)"""
+
+
+def _scaled(c: str) -> str:
+    w = "OVER (PARTITION BY query_id, video, scene_id)"
+    return f"CASE WHEN max({c}) {w} - min({c}) {w} > 1e-8 THEN ({c} - min({c}) {w}) / (max({c}) {w} - min({c}) {w}) ELSE 0 END"
+
+
+def _words(c: str) -> str:
+    return f"list_distinct(string_split({norm(c)}, ' '))"
+
+
+_CUT = "CASE WHEN e - s > 35 THEN greatest({lo}, (s + e) / 2 - 17.5) ELSE s END AS s, CASE WHEN e - s > 35 THEN least({hi}, (s + e) / 2 + 17.5) ELSE e END AS e"
+REFINED = _HYBRID + ",\n" + LINE + f""",
+dur AS (SELECT video, max(scene_end) AS duration FROM scenes GROUP BY 1),
+cand AS MATERIALIZED (SELECT query_id, query_text, label, k.video, scene_id, fused, t, i, a, scene_start, scene_end, subtitle, duration, greatest(0.0, scene_start - 15) AS lo, least(duration, scene_end + 15) AS hi FROM k JOIN dur USING (video)),
+bins AS MATERIALIZED (SELECT * FROM (SELECT query_id, query_text, label, video, scene_id, n, lo, hi, lo + n * 0.5 AS b_s, least(lo + n * 0.5 + 2, hi) AS b_e FROM (SELECT *, unnest(range(0, ceil((hi - lo) / 0.5)::BIGINT + 1)) AS n FROM cand WHERE hi > lo)) WHERE b_s < hi),
+btext AS (SELECT query_id, b.video, scene_id, n, string_agg(line, ' ' ORDER BY line_no) AS txt FROM bins b JOIN lines l ON l.video = b.video AND le >= b_s AND ls <= b_e GROUP BY ALL),
+mids AS MATERIALIZED (SELECT s.video, s.scene_id AS at_scene, (scene_start + scene_end) / 2 AS m, u.i AS ui, u.a AS ua FROM scenes s JOIN units u ON u.video = s.video AND u.scene_id = s.scene_id),
+seen AS MATERIALIZED (SELECT DISTINCT b.query_id, b.video, at_scene FROM bins b JOIN mids ON mids.video = b.video AND m >= b_s AND m <= b_e),
+sims AS MATERIALIZED (SELECT seen.query_id, seen.video, m, greatest(0.0, coalesce(list_inner_product(ui, q.i), 0)) AS si, greatest(0.0, coalesce(list_inner_product(ua, q.a), 0)) AS sa FROM seen JOIN mids USING (video, at_scene) JOIN q USING (query_id)),
+pooled AS (SELECT b.query_id, b.video, scene_id, n, CASE WHEN any_value(label) = 'action' THEN max(si) ELSE avg(si) END AS i_raw, max(sa) AS a_raw FROM bins b JOIN sims s ON s.query_id = b.query_id AND s.video = b.video AND m >= b_s AND m <= b_e GROUP BY ALL),
+raws AS (SELECT b.*, coalesce(i_raw, 0) AS i_raw, coalesce(a_raw, 0) AS a_raw, CASE WHEN length(coalesce(txt, '')) > 0 THEN 0.75 * len(list_intersect({_words('query_text')}, {_words('txt')})) / sqrt(len({_words('query_text')}) * len({_words('txt')}))
+         + 0.25 * CASE WHEN len({content('query_text')}) > 0 THEN len(list_filter({content('query_text')}, lambda w: contains({norm('txt')}, w))) / len({content('query_text')}) ELSE 0 END ELSE 0 END AS s_raw
+         FROM bins b LEFT JOIN btext USING (query_id, video, scene_id, n) LEFT JOIN pooled USING (query_id, video, scene_id, n)),
+fusedbins AS (SELECT *, ({_weight(0)}) * ({_scaled('s_raw')}) + ({_weight(1)}) * ({_scaled('i_raw')}) + ({_weight(2)}) * ({_scaled('a_raw')}) AS x FROM raws),
+sm AS MATERIALIZED (SELECT *, round(CASE WHEN count(*) OVER (PARTITION BY query_id, video, scene_id) >= 5 THEN sum(x) OVER (PARTITION BY query_id, video, scene_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 ELSE x END, 9) AS score FROM fusedbins),
+pk AS (SELECT * FROM (SELECT query_id, video, scene_id, n AS top_n, score AS peak, row_number() OVER (PARTITION BY query_id, video, scene_id ORDER BY score DESC, n) AS r FROM sm) WHERE r = 1),
+ext AS (SELECT query_id, video, scene_id, any_value(peak) AS peak, coalesce(max(n) FILTER (n < top_n AND score < greatest(0.25, 0.5 * peak)) + 1, min(n)) AS nl, coalesce(min(n) FILTER (n > top_n AND score < greatest(0.25, 0.5 * peak)) - 1, max(n)) AS nr FROM sm JOIN pk USING (query_id, video, scene_id) GROUP BY 1, 2, 3),
+s1 AS (SELECT c.query_id, c.video, c.scene_id, c.query_text, duration, peak, c.lo, c.hi, greatest(c.lo, x.b_s - 3) AS s, least(c.hi, y.b_e + 3) AS e FROM ext JOIN cand c ON c.query_id = ext.query_id AND c.video = ext.video AND c.scene_id = ext.scene_id JOIN bins x ON x.query_id = ext.query_id AND x.video = ext.video AND x.scene_id = ext.scene_id AND x.n = nl JOIN bins y ON y.query_id = ext.query_id AND y.video = ext.video AND y.scene_id = ext.scene_id AND y.n = nr),
+s2 AS (SELECT * EXCLUDE (s, e), s AS s0, e AS e0, CASE WHEN e - s < 10 THEN greatest(lo, s - (10 - (e - s)) / 2) ELSE s END AS s, CASE WHEN e - s < 10 THEN least(hi, e + (10 - (e - s)) / 2) ELSE e END AS e FROM s1),
+s3 AS (SELECT * EXCLUDE (s, e, s0, e0), CASE WHEN e0 - s0 < 10 AND e - s < 10 AND s > lo THEN greatest(lo, e - 10) ELSE s END AS s, CASE WHEN e0 - s0 < 10 AND e - s < 10 AND s <= lo THEN least(hi, s + 10) ELSE e END AS e FROM s2),
+s4 AS MATERIALIZED (SELECT * EXCLUDE (s, e), {_CUT.format(lo='lo', hi='hi')} FROM s3),
+sn AS (SELECT query_id, video, scene_id, min(ls) FILTER (abs(ls - s) <= 3.0 AND le <= e + 3.0) AS a, max(le) FILTER (abs(le - e) <= 3.0 AND ls >= s - 3.0) AS b FROM s4 JOIN lines USING (video) GROUP BY 1, 2, 3),
+s5 AS MATERIALIZED (SELECT s4.* EXCLUDE (s, e), least(s, coalesce(a, s)) AS s, greatest(e, coalesce(b, e)) AS e FROM s4 LEFT JOIN sn USING (query_id, video, scene_id)),
+kw AS (SELECT query_id, video, scene_id, min(ls) AS a, max(le) AS b FROM (SELECT *, {content('query_text')} AS w FROM s5) z JOIN lines l USING (video) WHERE le >= s - 8 AND ls <= e + 8 AND len(list_filter(w, lambda x: contains({norm('line')}, x))) > 0 GROUP BY 1, 2, 3),
+s6 AS (SELECT s5.* EXCLUDE (s, e), least(greatest(0.0, least(s, coalesce(a, s))), hi) AS s, greatest(e, coalesce(b, e)) AS e FROM s5 LEFT JOIN kw USING (query_id, video, scene_id)),
+s7 AS (SELECT * EXCLUDE (e), least(greatest(s, e), hi) AS e FROM s6),
+s8 AS (SELECT query_id, video, scene_id, peak, {_CUT.format(lo='0.0', hi='duration')} FROM s7),
+refined AS MATERIALIZED (SELECT c.*, coalesce(s8.s, scene_start) AS refined_start, coalesce(s8.e, scene_end) AS refined_end, coalesce(peak, fused) AS grounding_conf FROM cand c LEFT JOIN s8 USING (query_id, video, scene_id))"""
+GROUND = REFINED + f""",
+kwo AS (SELECT *, {words('query_text')} AS w FROM refined),
+bonus AS (SELECT *, len(list_filter(w, lambda x: contains(lower(coalesce(subtitle, '')), x))) AS hits FROM kwo),
+rs AS (SELECT *, least(0.05, 0.03 * (CASE WHEN len(w) > 0 THEN hits / len(w) ELSE 0 END) + 0.005 * hits) AS keyword_bonus FROM bonus),
+raw AS (SELECT *, 0.5 * fused + 0.4 * grounding_conf + 0.1 * keyword_bonus AS raw_score FROM rs),
+conf AS (SELECT *, greatest(0.0, least(1.0, (raw_score - 0.1) / (0.7 - 0.1))) AS confidence FROM raw),
+re AS (SELECT *, max(refined_end) OVER (PARTITION BY query_id, video ORDER BY refined_start, scene_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM conf),
+isl AS (SELECT *, sum((reached IS NULL OR refined_start - reached > 20)::INT) OVER (PARTITION BY query_id, video ORDER BY refined_start, scene_id) AS island FROM re),
+mg AS (SELECT *, row_number() OVER (PARTITION BY query_id, video, island ORDER BY raw_score DESC, refined_start, scene_id) AS r, min(refined_start) OVER p AS s, max(refined_end) OVER p AS e, count(*) OVER p AS merged FROM isl WINDOW p AS (PARTITION BY query_id, video, island)),
+ground AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, grounding_conf DESC, fused DESC, video, scene_id) AS place FROM mg WHERE r = 1)"""
+
+
+def _evaluated(results: str) -> str:
+    """CTEs up to ``ev`` from ``res`` (query_id, rank_pos, video, s, e, confidence)."""
+    return EVAL[EVAL.index("res AS") :].replace(EVAL[EVAL.index("res AS") : EVAL.index("j AS")], results + ",\n")
+
+
 def _shares(keys: str, having: str = "") -> str:
     return f"""SELECT {keys} AS query_type, count(*) AS n, round(avg(top1_correct), 4) AS top1_accuracy, round(avg(topk_hit), 4) AS topk_recall, round(avg(top1_iou), 4) AS mean_iou, round(avg((top1_iou >= 0.3)::INT), 4) AS r1_03,
         round(avg((top1_iou >= 0.5)::INT), 4) AS r1_05, round(avg(best_iou_k), 4) AS mean_best_iou, round(avg((best_iou_k >= 0.3)::INT), 4) AS rk_03, round(avg((best_iou_k >= 0.5)::INT), 4) AS rk_05 FROM ev {having}"""
@@ -175,12 +238,8 @@ def oracle_sql() -> dict[str, str]:
         "fuzzy_name_match": f"""WITH v AS (SELECT DISTINCT regexp_replace(video, '\\.[^.]+$', '') AS name FROM segments), f AS (SELECT DISTINCT regexp_replace(name, ' S\\d+E\\d+$', '') AS file FROM v UNION SELECT name FROM v WHERE name LIKE '%1'),
             m AS (SELECT name, CASE WHEN name = file THEN 0 ELSE 1 END AS rank, 'subs/' || file || '.srt' AS path FROM v, f WHERE contains({plain('name')}, {plain('file')}) OR contains({plain('file')}, {plain('name')})),
             b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rank, path) AS k FROM m) SELECT name, path FROM v LEFT JOIN (SELECT * FROM b WHERE k = 1) USING (name)""",
-        "hybrid_search": f"""WITH {QVEC},
-            l AS (SELECT *, len(list_intersect({_TOKENS}, {_list(ACTION_WORDS)})) AS x, len(list_intersect({_TOKENS}, {_list(DIALOGUE_WORDS)})) AS y, list_filter({chars}, lambda n: contains(lower(query_text), n)) AS names FROM q),
-            p AS (SELECT query_id, CASE WHEN x > y THEN 'action' WHEN y > x THEN 'dialogue' ELSE 'mixed' END AS label, names, u.ord, u.video, u.scene_id, greatest(0.0, coalesce(list_inner_product(u.t, l.t), 0)) AS t, greatest(0.0, coalesce(list_inner_product(u.i, l.i), 0)) AS i, greatest(0.0, coalesce(list_inner_product(u.a, l.a), 0)) AS a FROM l, units u),
-            r AS (SELECT query_id, min(t) AS lt, max(t) AS ht, min(i) AS li, max(i) AS hi, min(a) AS la, max(a) AS ha FROM p GROUP BY 1),
-            f AS (SELECT p.*, ({_weight(0)}) * (CASE WHEN ht - lt > 1e-8 THEN (t - lt) / (ht - lt) ELSE 0 END) + ({_weight(1)}) * (CASE WHEN hi - li > 1e-8 THEN (i - li) / (hi - li) ELSE 0 END) + ({_weight(2)}) * (CASE WHEN ha - la > 1e-8 THEN (a - la) / (ha - la) ELSE 0 END)
-                  + CASE WHEN len(names) > 0 THEN 0.3 * len(list_filter(names, lambda n: contains(lower(coalesce(s.subtitle, '')), n))) / len(names) ELSE 0 END AS fused FROM p JOIN r USING (query_id) LEFT JOIN scenes s ON s.video = p.video AND s.scene_id = p.scene_id),
-            k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, ord DESC) AS rank_pos FROM f)
-            SELECT query_id, rank_pos, video, scene_id, round(fused, 6) AS hybrid_score, round(t, 6) AS text_score, round(i, 6) AS image_score, round(a, 6) AS audio_score, label AS query_type FROM k WHERE rank_pos <= 10""",
+        "hybrid_search": f"WITH {_HYBRID} SELECT query_id, rank_pos, video, scene_id, round(fused, 6) AS hybrid_score, round(t, 6) AS text_score, round(i, 6) AS image_score, round(a, 6) AS audio_score, label AS query_type FROM k",
+        "refined_spans": f"WITH {REFINED} SELECT query_id, video, scene_id, round(refined_start, 4) AS refined_start, round(refined_end, 4) AS refined_end, round(grounding_conf, 4) AS grounding_conf FROM refined",
+        "ground": f"WITH {GROUND} SELECT query_id, place AS rank_pos, video, scene_id, merged, round(s, 4) AS refined_start, round(e, 4) AS refined_end, round(e - s, 4) AS span_seconds, round(grounding_conf, 4) AS grounding_conf, round(keyword_bonus, 4) AS keyword_bonus, round(raw_score, 4) AS raw_score, round(confidence, 4) AS confidence FROM ground",
+        "evaluate": f"WITH {GROUND}, {_evaluated('res AS (SELECT query_id, place AS rank_pos, video, s, e, confidence FROM ground)')} {_shares('query_type', 'GROUP BY query_type')} UNION ALL {_shares(chr(39) + 'ALL' + chr(39))}",
     }

@@ -47,7 +47,9 @@ def bin_scores(candidates: DataFrame, lines: DataFrame, frames: DataFrame, sound
     norm = minmax(scored, ["s_raw", "i_raw", "a_raw"], KEY)
     w = weights_of(F.col("query_type"), settings.retrieval.weights)
     fused = norm.withColumn("_w", w).withColumn("fused", F.col("_w.text") * F.col("s_raw_norm") + F.col("_w.image") * F.col("i_raw_norm") + F.col("_w.audio") * F.col("a_raw_norm"))
-    return timeline.smooth(fused, KEY, "i", "fused", r.smooth_window, "score").select(*KEY, "i", F.col("s").alias("b_s"), F.col("e").alias("b_e"), "lo", "hi", "s_raw", "i_raw", "a_raw", "score")
+    smooth = timeline.smooth(fused, KEY, "i", "fused", r.smooth_window, "score")
+    # nine digits, so that bins of equal score tie in whatever order they were added
+    return smooth.select(*KEY, "i", F.col("s").alias("b_s"), F.col("e").alias("b_e"), "lo", "hi", "s_raw", "i_raw", "a_raw", F.round("score", 9).alias("score"))
 
 
 def refine(candidates: DataFrame, lines: DataFrame, frames: DataFrame, sounds: DataFrame, settings: Settings = Settings(), text_similarity: Callable[[Column, Column], Column] = bag_cosine) -> DataFrame:
