@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.operators.prefix import join_by
+from reelspan.session import cut_lineage
 
 
 def mark_islands(spans: DataFrame, by: list[str], start: str, end: str, ties: list[str], gap: float, bins: int = 16) -> DataFrame:
@@ -17,7 +18,8 @@ def mark_islands(spans: DataFrame, by: list[str], start: str, end: str, ties: li
     begin of a run) is one row a range. So no task holds a group. Null bounds are not allowed.
     """
     cuts = spans.groupBy(*by).agg(F.percentile_approx(start, [i / bins for i in range(1, bins)], 1000).alias("_cuts"))
-    rows = join_by(spans, cuts, by).withColumn("_bin", F.size(F.filter("_cuts", lambda x: x < F.col(start)))).drop("_cuts")
+    # written once: it is read for the ranges' ends, for their marks, and for the rows themselves
+    rows = cut_lineage(join_by(spans, cuts, by).withColumn("_bin", F.size(F.filter("_cuts", lambda x: x < F.col(start)))).drop("_cuts"))
     keys = [*by, "_bin"]
     ranges = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     inner = Window.partitionBy(*keys).orderBy(start, *ties)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspan.session import cut_lineage
+
 
 def join_by(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """Joins on equal ``by``, null meeting null; ``right``'s own columns follow, its keys are dropped."""
@@ -23,10 +25,8 @@ def running_total(df: DataFrame, by: list[str], order: str, value: str, ties: li
     """
     ties = list(ties)
     cuts = df.groupBy(*by).agg(F.percentile_approx(order, [i / bins for i in range(1, bins)], 1000).alias("_cuts"))
-    binned = (
-        join_by(df, cuts, by)
-        .withColumn("_bin", F.size(F.filter("_cuts", lambda x: x < F.col(order)))).drop("_cuts")
-    )
+    # written once: the totals of the ranges and the sums inside them both start from here
+    binned = cut_lineage(join_by(df, cuts, by).withColumn("_bin", F.size(F.filter("_cuts", lambda x: x < F.col(order)))).drop("_cuts"))
     # every group has at most bins + 1 rows here
     w = Window.partitionBy(*by).orderBy("_bin")
     offsets = (
