@@ -27,6 +27,8 @@ class IndexParams:
     margin: float = 0.05
     max_copies: int = 4
     least_candidates: int = 900
+    #: A list at home to fewer vectors is given up, and they go to the others; so each list has more than a query needs.
+    least_rows: int = 24
     subspaces: int = 64
     rerank: int = 96
     iterations: int = 8
@@ -151,30 +153,37 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, params: I
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
     total = rows.select("id").count()
     every = max(1, total // max(1, p.sample))
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(every)) == 0)
+    sample = picked.mapInArrow(_raw, "vec binary").limit(4 * p.sample).toArrow()["vec"].to_pylist()
+    if not sample and total:  # few usable rows, none of them picked by the hash
+        sample = rows.mapInArrow(_raw, "vec binary").limit(p.sample).toArrow()["vec"].to_pylist()
+    if not sample:
+        return spark.createDataFrame([], NEIGHBOURS)
+    width = max(set(map(len, sample)), key=[len(v) for v in sample].count)
+    fitted = _unit(np.frombuffer(b"".join(v for v in sample if len(v) == width), np.float32).reshape(-1, width // 4))
+    centroids, books = fit(fitted, total, p)
+    first_fit = spark.sparkContext.broadcast(centroids)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        cents = first_fit.value
         for b in batches:
             use, x = _matrix(b.column(1))
-            if not len(use):
+            if not len(use) or x.shape[1] != cents.shape[1]:
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)[use]
             prints = np.array([xxhash.xxh3_64_intdigest(v.tobytes()) for v in x], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(prints)], ["id", "print"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(prints), pa.array((_unit(x) @ cents.T).argmax(1).astype(np.int32))], ["id", "print", "list"])
 
-    seen = cut_lineage(rows.mapInArrow(scan, "id bigint, print bigint"))
+    # without the vectors: ids, fingerprints, nearest lists
+    seen = cut_lineage(rows.mapInArrow(scan, "id bigint, print bigint, list int"))
     n = seen.count()
     limit = max(p.heavy_least, int(n * p.heavy_share))
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(every)) == 0)
-    sample = picked.mapInArrow(_raw, "vec binary").limit(4 * p.sample).toArrow()["vec"].to_pylist()
-    if not sample and n:  # few usable rows, none of them picked by the hash
-        sample = rows.mapInArrow(_raw, "vec binary").limit(p.sample).toArrow()["vec"].to_pylist()
-    if not sample:
-        return spark.createDataFrame([], NEIGHBOURS)
-    width = max(set(map(len, sample)), key=[len(v) for v in sample].count)
-    fitted = _unit(np.frombuffer(b"".join(v for v in sample if len(v) == width), np.float32).reshape(-1, width // 4))
-    centroids, books = fit(fitted, n, p)
+    # a row for each list, at most max_lists
+    at_home = {r["list"]: r["c"] for r in seen.groupBy("list").agg(F.count_distinct("id").alias("c")).collect()}
+    enough = min(p.least_rows, max(at_home.values(), default=0))
+    centroids = centroids[[i for i in range(len(centroids)) if at_home.get(i, 0) >= enough]] if at_home else centroids
     # copies of the same vector in bounded number: fewer than 1 / heavy_share prints
     heavy = seen.groupBy("print").agg(F.count_distinct("id").alias("c")).where(F.col("c") > limit).select("print")
     first = seen.join(F.broadcast(heavy), "print").select("print", "id").distinct()
