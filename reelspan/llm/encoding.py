@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +30,8 @@ FLOOR = 1e-7
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_LETTER = re.compile(r"[^\W\d_]")
+_JOINTS = frozenset("'’-")
 
 
 @lru_cache(maxsize=70_000)
@@ -107,6 +110,13 @@ def looks_misread(token: str) -> bool:
     return False
 
 
+@lru_cache(maxsize=100)
+def _script(kind: str) -> frozenset[str]:
+    """The script of a class of letters, of those that are not written together."""
+    k = kind.lower()
+    return frozenset((k if k in "cgo" else "l",) if k in "alcgo" else ())
+
+
 def _mixed(word: str) -> bool:
     """Whether a word has letters of more than one of the scripts that are not written together."""
     return len({k if k in "cgo" else "l" for k in (kind_of(c).lower() for c in word) if k in "alcgo"}) > 1
@@ -166,6 +176,9 @@ class Model:
             b = c.encode("utf-8", "replace")
             for lead in (b[0], -1):
                 self.by_lead.setdefault((len(b), lead), []).append(c)
+        self.sorted_words = sorted(words)
+        self.after = lru_cache(maxsize=200_000)(self._after)
+        self.matching = lru_cache(maxsize=20_000)(self._matching)
         self.cached_cost = lru_cache(maxsize=200_000)(self._cost)
         self.readings = lru_cache(maxsize=100_000)(self._readings)
 
@@ -273,44 +286,129 @@ class Model:
                     out[r, "utf-8"] = t
         return out
 
-    def _viterbi(self, lattice: list[int], wide: bool, beam: int = 12) -> str | None:
-        """The cheapest UTF-8 text on a lattice of bytes and wildcards (-1); where ``wide``, a wildcard may stand for two bytes."""
-        ways: list[list[tuple[float, str, str, bool]]] = [[] for _ in range(len(lattice) + 1)]
-        ways[0] = [(0.0, "", "^", False)]
+    def _matching(self, pattern: tuple[int, ...]) -> tuple[dict[str, list[str]], list[str]]:
+        """Characters whose bytes match a pattern with wildcards (-1): all by their first letter in lower case, and the cheapest of each kind that a spelling tells apart."""
+        letters: dict[str, list[str]] = {}
+        best: dict[tuple, tuple[float, str]] = {}
+        for c in self.by_lead.get((len(pattern), pattern[0]), ()):
+            if all(x in (-1, y) for x, y in zip(pattern, c.encode())):
+                key = (kind_of(c), _LETTER.match(c) is not None, c in _JOINTS)
+                best[key] = min(best.get(key, (math.inf, "")), (self.char(c), c))
+                if key[1] or key[2]:
+                    for low in "σς" if c == "Σ" else c.lower()[:1]:
+                        letters.setdefault(low, []).append(c)
+        return letters, [c for _, c in best.values()]
+
+    def _after(self, prefix: str) -> frozenset[str]:
+        """The characters that follow ``prefix`` in known words."""
+        out, i, n = set(), bisect_left(self.sorted_words, prefix), len(prefix)
+        while i < len(self.sorted_words) and self.sorted_words[i].startswith(prefix):
+            if len(self.sorted_words[i]) == n:
+                i += 1
+                continue
+            c = self.sorted_words[i][n]
+            out.add(c)
+            i = bisect_left(self.sorted_words, prefix + chr(ord(c) + 1), i)
+        return frozenset(out)
+
+    def _viterbi(self, lattice: list[int], wide: bool) -> str | None:
+        """The cheapest UTF-8 text, by ``_cost``, on a lattice of bytes and wildcards (-1); where ``wide``, a wildcard may stand for two bytes.
+
+        Exact: of the ways to a position only those are dropped that another of the same state beats. A word is either
+        spelled, where the state is the last class and the word's scripts, or a known one, where it is the word's prefix
+        in lower case and the ways its capitals may still be usual; a known word's cost is added where it ends.
+        """
+        # states: (last class, "out" | "end", ...) between words, "end" where no letter may follow; (.., "spell", scripts, after a
+        # joint); (.., "known", prefix, capitals, cased before, scripts, after a joint). Values: (cost, text, where the known word starts).
+        ways: list[dict[tuple, tuple[float, str, int]]] = [{} for _ in range(len(lattice) + 1)]
+        ways[0] = {("^", "out"): (0.0, "", 0)}
         worst = -math.log(FLOOR)
+
+        def put(to: dict, state: tuple, way: tuple[float, str, int]) -> None:
+            if state not in to or way < to[state]:
+                to[state] = way
+
+        def known_end(state: tuple, way: tuple[float, str, int]) -> float | None:
+            if state[6] or len(state[5]) > 1:
+                return None
+            word = way[1][way[2] :].lower()
+            n = self.words.get(word) if word == state[2] else None
+            return way[0] - math.log(n / self.n_words) + (1.0 if any(state[3]) else 8.0) if n else None
+
+        def spell(to: dict, state: tuple, way: tuple[float, str, int], c: str) -> None:
+            """Adds ``c`` outside of known words."""
+            k, letter = kind_of(c), _LETTER.match(c) is not None
+            cost, s = way[0] + self.step.get(state[0] + k, worst) + self.char(c), way[1] + c
+            if letter and state[1] != "end":
+                before = state[2] if state[1] == "spell" else frozenset()
+                scripts = before | _script(k)
+                put(to, (k, "spell", scripts, False), (cost + 8.0 * (len(scripts) > 1 >= len(before)), s, 0))
+            elif not letter:
+                put(to, (k, "spell", state[2], True) if c in _JOINTS and state[1] == "spell" and not state[3] else (k, "out"), (cost, s, 0))
+
+        def know(to: dict, state: tuple, way: tuple[float, str, int], c: str) -> None:
+            """Adds ``c`` to a known word, or starts one."""
+            k, joint = kind_of(c), c in _JOINTS
+            new = state[1] != "known"
+            prefix, forms, cased, scripts, pending = ("", (True,) * 4, False, frozenset(), False) if new else state[2:]
+            if joint and (new or pending):
+                return
+            lower, upper, title = c == c.lower(), c == c.upper(), c == c.title()
+            forms = (forms[0] and lower, forms[1] and upper, forms[2] and (title if new else lower), forms[3] and (lower if cased else title))
+            for low in (c.lower(),) if c != "Σ" else "σς":
+                if low[0] in self.after(prefix) and (len(low) == 1 or low[-1] in self.after((prefix + low)[:-1])):
+                    put(to, (k, "known", prefix + low, forms, c.islower() or c.isupper() or c.istitle(), scripts | _script(k), joint), (way[0], way[1] + c, len(way[1]) if new else way[2]))
+
+        def nexts(letters: dict[str, list[str]], prefix: str) -> list[str]:
+            """Of ``letters``, those that go on with a known word after ``prefix``."""
+            return [c for low in self.after(prefix) & letters.keys() for c in letters[low]]
+
+        def closed(here: dict) -> None:
+            """Adds the ends of known words to a position."""
+            for state, way in list(here.items()):
+                if state[1] == "known" and (cost := known_end(state, way)) is not None:
+                    put(here, (state[0], "word"), (cost, way[1], 0))
+
         for i in range(len(lattice)):
-            ways[i] = sorted(ways[i])[:beam]
-            for cost, s, last, owed in ways[i]:
-                b = lattice[i]
-                if 0 <= b < 128 and not owed:
-                    c = chr(b)
-                    k = kind_of(c)
-                    ways[i + 1].append((cost + self.step.get(last + k, worst) + self.char(c), s + c, k, False))
-                    continue
+            here, ways[i] = ways[i], {}
+            closed(here)
+            b = lattice[i]
+            moves: list[tuple[int, dict[str, list[str]], list[str]]] = []
+            if 0 <= b < 128:
+                c = chr(b)
+                moves.append((1, {c.lower(): [c]} if _LETTER.match(c) or c in _JOINTS else {}, [c]))
+            else:
                 for n in (2, 3):
                     spans = [(n, lattice[i : i + n])]
-                    if wide and -1 in lattice[i : i + n - 1]:
-                        spans.append((n - 1, None))  # the wildcard takes two of the bytes
+                    if wide and -1 in lattice[i : i + n - 1]:  # the wildcard takes two of the bytes
+                        have = lattice[i : i + n - 1]
+                        at = have.index(-1)
+                        spans.append((n - 1, have[: at + 1] + [-1] + have[at + 1 :]))
                     for used, part in spans:
-                        if i + used > len(lattice):
-                            continue
-                        if part is None:
-                            have = lattice[i : i + used]
-                            at = have.index(-1)
-                            part = have[: at + 1] + [-1] + have[at + 1 :]
-                        if len(part) < n or any(0 <= x < 128 for x in part):
-                            continue
-                        tried = 0
-                        for c in self.by_lead.get((n, part[0]), ()):
-                            e = c.encode()
-                            if all(x in (-1, y) for x, y in zip(part, e)):
+                        if i + used <= len(lattice) and len(part) == n and not any(0 <= x < 128 for x in part):
+                            moves.append((used, *self.matching(tuple(part))))
+            for used, letters, cheapest in moves:
+                to = ways[i + used]
+                for state, way in here.items():
+                    if state[1] == "known":
+                        for c in nexts(letters, state[2]):
+                            know(to, state, way, c)
+                        continue
+                    if state[1] == "word":  # the next sign is no letter; after a joint neither is the one after it
+                        for c in cheapest:
+                            if not _LETTER.match(c):
                                 k = kind_of(c)
-                                ways[i + used].append((cost + self.step.get(last + k, worst) + self.char(c), s + c, k, False))
-                                tried += 1
-                                if tried >= 2 * beam:
-                                    break
-        full = sorted((self.cached_cost(s), s) for _, s, _, _ in ways[-1])
-        return full[0][1] if full else None
+                                put(to, (k, "end" if c in _JOINTS else "out"), (way[0] + self.step.get(state[0] + k, worst) + self.char(c), way[1] + c, 0))
+                        continue
+                    for c in cheapest:
+                        spell(to, state, way, c)
+                # a known word costs the same after any class, so it starts from the cheapest way
+                if start := min(((way, state) for state, way in here.items() if state[1] == "out"), default=None):
+                    for c in nexts(letters, ""):
+                        know(to, start[1], start[0], c)
+        closed(ways[-1])
+        full = [(way[0] + self.step.get(state[0] + "$", worst), way[1]) for state, way in ways[-1].items() if state[1] != "known"]
+        return min(full)[1] if full else None
 
     def restore(self, text: str) -> tuple[str, int, int]:
         """(text as it was written as far as can be told, tokens that were misread, of those not restored).

@@ -65,3 +65,40 @@ def test_training_leaves_out_what_looks_misread():
     assert looks_misread("nÃ£o") and looks_misread("x\ufffd") and not looks_misread("não") and not looks_misread("Завтра") and not looks_misread("帽子が壊れました。")
     assert not pieces_of("abcж")  # two scripts in one word
     assert Model({}, {}, {}).restore("é")[1] == 0
+
+
+def test_every_character_that_fits_a_lost_byte_is_tried():
+    kana = [bytes([0xE3, 0x81, b]).decode() for b in range(0x81, 0xC0)]
+    words = {"".join(kana[i : i + 3]): 2 for i in range(0, 60, 3)} | {"ねこだ": 400}
+    chars = {c: 1000 - i for i, c in enumerate(k for k in kana if k != "こ")} | {"こ": 3}
+    m = Model(words, chars, {"^h": 500, "hh": 1000, "h$": 500})
+    lattice = list("ねこだ".encode())
+    lattice[5] = -1
+    assert m._viterbi(lattice, False) == "ねこだ"
+    lattice[4] = -1
+    assert m._viterbi(lattice, False) == "ねこだ"
+
+
+def test_lattices_are_searched_exactly():
+    """The cheapest of all texts on the lattice, by the cost they are ranked with."""
+    counts: dict = {"w": {}, "c": {}, "t": {}}
+    for t in ("você", "d’água", "l’Été", "été-là", "ÎLE", "Кто", "дверь", "こに", "帽子が", "Löffel", "ΛΌΓΟΣ", "é-é", "É", "—à", "Été", "ß9é"):
+        for k, v in pieces_of(t).items():
+            counts[k[0]][k[1:]] = counts[k[0]].get(k[1:], 0) + v
+    m = Model(counts["w"], counts["c"], counts["t"])
+    wide = [c for c in counts["c"] if ord(c) > 127]
+
+    def texts(b: list[int]) -> list[str]:
+        if not b:
+            return [""]
+        if 0 <= b[0] < 128:
+            return [chr(b[0]) + r for r in texts(b[1:])]
+        fit = [c for c in wide if len(c.encode()) <= len(b) and all(x in (-1, y) for x, y in zip(b, c.encode()))]
+        return [c + r for c in fit for r in texts(b[len(c.encode()) :])]
+
+    for t in ("d’água-é", "l’Été", "ÎLE", "Кто", "こに", "Löffel—é", "ΛΌΓ", "été-là"):
+        b = list(t.encode())
+        high = [i for i, x in enumerate(b) if x > 127]
+        for lost in (high[:1], high[1:2], high[:2], high[-2:]):
+            lattice = [-1 if i in lost else x for i, x in enumerate(b)]
+            assert m._cost(m._viterbi(lattice, False)) == pytest.approx(min(map(m._cost, texts(lattice)))), (t, lost)
