@@ -7,14 +7,16 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.session import small_rows
+from reelspan.llm.wordlist import SortedTable, sorted_table
+from reelspan.session import cut_lineage, small_rows
 
 # Names of the codecs a text may have been read in, and those it may have been written in.
 READ = ["cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp852", "cp866", "koi8-r", "mac-roman", "mac-cyrillic", "iso8859-2", "iso8859-5", "iso8859-15", "cp1254", "cp932", "gbk", "big5", "euc-kr", "euc-jp"]
@@ -139,26 +141,44 @@ def pieces_of(token: str) -> Counter:
     return out
 
 
-def without_echoes(words: dict[str, int], times: int = 20) -> dict[str, int]:
-    """``words`` less those that are a misreading, in narrow code pages, of words at least ``times`` as frequent."""
+def without_echoes(words: dict[str, int], times: int = 20, count: Callable[[str], int | None] | None = None) -> dict[str, int]:
+    """``words`` less those that are a misreading, in narrow code pages, of words at least ``times`` as frequent by ``count``, if given, else in ``words``."""
+    count = count or words.get
 
     def echo(word: str, n: int) -> bool:
         for channel, t in Model._undo(word):
             if channel[1] in NARROW:
                 found = [m[0].lower() for m in _WORD.finditer(t)]
-                if found and all(words.get(w, 0) >= times * n for w in found):
+                if found and all((count(w) or 0) >= times * n for w in found):
                     return True
         return False
 
     return {w: n for w, n in words.items() if w.isascii() or not echo(w, n)}
 
 
+def mask_of(word: str) -> str:
+    return _RUN.sub(lambda m: LOST * len(m[0]), word)
+
+
+@dataclass(frozen=True)
+class RareWords:
+    """Words too many for a broadcast, in the shared folder: their counts, and of each mask the sum and the most frequent."""
+
+    words: SortedTable
+    masks: SortedTable
+    total: int
+
+    def count(self, word: str) -> int | None:
+        row = self.words.row(word)
+        return row[0] if row else None
+
+
 class Model:
     """Costs (negative logarithms) of texts under the counts of a corpus."""
 
-    def __init__(self, words: dict[str, int], chars: dict[str, int], steps: dict[str, int]) -> None:
-        self.words, self.chars = words, chars
-        self.n_words = max(1, sum(words.values()))
+    def __init__(self, words: dict[str, int], chars: dict[str, int], steps: dict[str, int], rare: RareWords | None = None) -> None:
+        self.words, self.chars, self.rare = words, chars, rare
+        self.n_words = max(1, sum(words.values()) + (rare.total if rare else 0))
         by_kind: Counter = Counter()
         for c, n in chars.items():
             by_kind[kind_of(c)] += n
@@ -170,13 +190,14 @@ class Model:
         self.step = {s: -math.log(max(FLOOR, n / from_[s[0]])) for s, n in steps.items()}
         self.masks: dict[str, list[tuple[int, str]]] = {}
         for w, n in words.items():
-            self.masks.setdefault(_RUN.sub(lambda m: LOST * len(m[0]), w), []).append((n, w))
+            self.masks.setdefault(mask_of(w), []).append((n, w))
         self.by_lead: dict[tuple[int, int], list[str]] = {}
         for c in sorted((c for c in chars if ord(c) > 127 and kind_of(c) not in "zx"), key=lambda c: -chars[c]):
             b = c.encode("utf-8", "replace")
             for lead in (b[0], -1):
                 self.by_lead.setdefault((len(b), lead), []).append(c)
         self.sorted_words = sorted(words)
+        self.count = lru_cache(maxsize=200_000)(self._count)
         self.after = lru_cache(maxsize=200_000)(self._after)
         self.matching = lru_cache(maxsize=20_000)(self._matching)
         self.cached_cost = lru_cache(maxsize=200_000)(self._cost)
@@ -206,7 +227,7 @@ class Model:
         for m in _WORD.finditer(s):
             cost, last = spell(s[at : m.start()], last)
             total += cost
-            known = self.words.get(m[0].lower())
+            known = self.count(m[0].lower())
             cost, after = spell(m[0], last)
             if _mixed(m[0]):
                 cost += 8.0
@@ -230,7 +251,7 @@ class Model:
         for channel, t in first:
             if not any(kind_of(c) in "zx" for c in t) and (channel[1] in ("utf-8", *NARROW) or any(kind_of(c) in "hk" for c in t)):
                 cost = self.cached_cost(t) - own
-                if channel[1] in NARROW and natural and not all(m[0].lower() in self.words for m in _WORD.finditer(t)):
+                if channel[1] in NARROW and natural and not all(self.count(m[0].lower()) for m in _WORD.finditer(t)):
                     cost += DOUBT * (1 + sum(kind_of(c) == "p" for c in token))
                 out[channel] = (cost, t)
             if channel[1] == "utf-8" and _NON_ASCII.search(t):
@@ -258,11 +279,11 @@ class Model:
         for m in re.finditer(rf"[\w{LOST}'’-]+|.", token):
             part = m[0]
             if LOST in part:
-                best = sorted(self.masks.get(part.lower(), ()), reverse=True) if part.strip(LOST) or len(part) > 2 else []
-                if not best or best[0][0] < 0.6 * sum(n for n, _ in best):
+                best = self._masked(part.lower()) if part.strip(LOST) or len(part) > 2 else None
+                if not best or best[1] < 0.6 * best[0]:
                     gone = True
                     break
-                w = best[0][1]
+                w = best[2]
                 letters = [c for c in part if c.isalpha()]
                 part = w.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else w[:1].upper() + w[1:] if part[0].isupper() or part[0] == LOST and not words and w[:1] != w[:1].lower() else w
             words.append(part)
@@ -286,6 +307,18 @@ class Model:
                     out[r, "utf-8"] = t
         return out
 
+    def _count(self, word: str) -> int | None:
+        n = self.words.get(word)
+        return self.rare.count(word) if n is None and self.rare else n
+
+    def _masked(self, mask: str) -> tuple[int, int, str] | None:
+        """Of the words with ``mask``: the sum of their counts, and the most frequent with its count."""
+        some = self.masks.get(mask, [])
+        found = [(sum(n for n, _ in some), *max(some))] if some else []
+        if self.rare and (row := self.rare.masks.row(mask)):
+            found.append(row)
+        return (sum(f[0] for f in found), *max(f[1:] for f in found)) if found else None
+
     def _matching(self, pattern: tuple[int, ...]) -> tuple[dict[str, list[str]], list[str]]:
         """Characters whose bytes match a pattern with wildcards (-1): all by their first letter in lower case, and the cheapest of each kind that a spelling tells apart."""
         letters: dict[str, list[str]] = {}
@@ -309,6 +342,11 @@ class Model:
             c = self.sorted_words[i][n]
             out.add(c)
             i = bisect_left(self.sorted_words, prefix + chr(ord(c) + 1), i)
+        if self.rare:
+            word = self.rare.words.next_key(prefix + "\0")
+            while word and word.startswith(prefix):
+                out.add(word[n])
+                word = self.rare.words.next_key(prefix + chr(ord(word[n]) + 1))
         return frozenset(out)
 
     def _viterbi(self, lattice: list[int], wide: bool) -> str | None:
@@ -332,7 +370,7 @@ class Model:
             if state[6] or len(state[5]) > 1:
                 return None
             word = way[1][way[2] :].lower()
-            n = self.words.get(word) if word == state[2] else None
+            n = self.count(word) if word == state[2] else None
             return way[0] - math.log(n / self.n_words) + (1.0 if any(state[3]) else 8.0) if n else None
 
         def spell(to: dict, state: tuple, way: tuple[float, str, int], c: str) -> None:
@@ -461,7 +499,8 @@ def corpus_model(texts: DataFrame, text: str, vocabulary_share: float = 1e-5) ->
 
     Distinct tokens are counted first; tokens that look misread are not counted. What comes to the driver is bounded:
     characters by Unicode, transitions by the classes, and words by their share of all such words, of which at least
-    ``vocabulary_share`` is asked, so there are at most its inverse. Rarer words are spelled by their characters.
+    ``vocabulary_share`` is asked, so there are at most its inverse. Rarer words are written, sorted, to the shared
+    folder, where workers look them up: the share decides where a word is kept, not what is known.
     """
     token = F.explode(F.split(F.col(text), r"[ \t\r\n\f\x0B]+"))
     tokens = texts.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(token.alias("token")).where(F.col("token").rlike(r"[^\x00-\x7f]"))
@@ -479,24 +518,48 @@ def corpus_model(texts: DataFrame, text: str, vocabulary_share: float = 1e-5) ->
     counts = tokens.mapInPandas(count, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     kind = F.substring("key", 1, 1)
     sums = counts.where(kind == "w").agg(F.sum("n").alias("_total"))
-    kept = counts.crossJoin(F.broadcast(sums)).where((kind != "w") | (F.col("n") >= F.col("_total") * vocabulary_share)).select("key", "n")
+    kept = counts.crossJoin(F.broadcast(sums)).where((kind != "w") | (F.col("n") >= F.col("_total") * vocabulary_share)).select("key", "n", "_total")
     rows = small_rows(kept, int(1 / vocabulary_share) + 1_200_000, "the corpus model")
     split: dict[str, dict[str, int]] = {"w": {}, "c": {}, "t": {}}
     for r in rows:
         split[r["key"][0]][r["key"][1:]] = int(r["n"])
-    return Model(without_echoes(split["w"]), split["c"], split["t"])
+    words = split["w"]
+    total = int(rows[0]["_total"] or 0) if rows else 0
+    if total <= sum(words.values()):
+        return Model(without_echoes(words), split["c"], split["t"])
+    few = counts.where(kind == "w").crossJoin(F.broadcast(sums)).where(F.col("n") < F.col("_total") * vocabulary_share)
+    few = cut_lineage(few.select(F.expr("substring(key, 2)").alias("word"), "n"))
+    return Model(without_echoes(words), split["c"], split["t"], _rare_words(few, words))
+
+
+def _rare_words(few: DataFrame, words: dict[str, int]) -> RareWords:
+    """The table of ``few`` (``word, n``), less echoes of any words, and of its masks."""
+    all_few, box = sorted_table(few, "word"), few.sparkSession.sparkContext.broadcast(words)
+
+    def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def count(word: str) -> int | None:
+            return box.value.get(word) or (row[0] if (row := all_few.row(word)) else None)
+
+        for f in frames:
+            left = without_echoes(dict(zip(f["word"], map(int, f["n"]))), count=count)
+            yield pd.DataFrame({"word": list(left), "n": list(left.values()), "mask": [mask_of(w) for w in left]}, columns=["word", "n", "mask"])
+
+    left = cut_lineage(few.mapInPandas(clean, "word string, n bigint, mask string"))
+    top = F.max(F.struct("n", "word")).alias("top")
+    masks = left.groupBy("mask").agg(F.sum("n").alias("total"), top).select("mask", "total", "top.n", "top.word")
+    return RareWords(sorted_table(left.select("word", "n"), "word"), sorted_table(masks, "mask"), int(left.agg(F.sum("n")).first()[0] or 0))
 
 
 def restored(texts: DataFrame, text: str, vocabulary_share: float = 1e-5) -> DataFrame:
     """``texts`` with ``restored`` (the text as it was written, as far as can be told), ``misread`` and ``unrestored`` (tokens).
 
     Null stays null with no misread tokens; a text of ASCII only comes out as it is. The model is one broadcast of
-    bounded size (see ``corpus_model``); texts are independent of each other, and whole. Columns of ``texts`` that are called
+    bounded size and a table of rare words (see ``corpus_model``); texts are independent of each other, and whole. Columns of ``texts`` that are called
     like the three new ones are replaced.
     """
     texts = texts.drop("restored", "misread", "unrestored")
     m = corpus_model(texts, text, vocabulary_share)
-    box = texts.sparkSession.sparkContext.broadcast((m.words, m.chars, m.steps))
+    box = texts.sparkSession.sparkContext.broadcast((m.words, m.chars, m.steps, m.rare))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

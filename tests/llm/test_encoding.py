@@ -102,3 +102,26 @@ def test_lattices_are_searched_exactly():
         for lost in (high[:1], high[1:2], high[:2], high[-2:]):
             lattice = [-1 if i in lost else x for i, x in enumerate(b)]
             assert m._cost(m._viterbi(lattice, False)) == pytest.approx(min(map(m._cost, texts(lattice)))), (t, lost)
+
+
+def test_words_too_rare_for_the_broadcast_are_known_all_the_same(spark):
+    damaged = ["Hast du den L\ufffdffel?", "Nat\u00c3\ufffdrlich", "\ufffd\ufffd\ufffd\ufffd\ufffd\ufffd", "z K\ufffdche", "при\ufffd\ufffdсёт", *["Завтра портрет".encode("cp1251").decode("cp1252"), "帽子が".encode().decode("latin-1")]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CLEAN * 3 + NAMES + damaged)], "id int, t string")
+    whole, thin = corpus_model(df, "t"), corpus_model(df, "t", 0.04)
+    assert whole.rare is None and thin.rare and len(thin.words) < len(whole.words)
+    assert thin.n_words == whole.n_words and all(thin.count(w) == n for w, n in whole.words.items()) and thin.count("zzz") is None
+    assert {p: thin.after(p) for p in ("", "l", "по", "帽", "zz")} == {p: whole.after(p) for p in ("", "l", "по", "帽", "zz")}
+    want = sorted(map(tuple, restored(df, "t").collect()))
+    assert sorted(map(tuple, restored(df, "t", 0.04).collect())) == want
+    assert next(r for r in want if r[1] == damaged[0])[2] == "Hast du den Löffel?"
+
+
+def test_sorted_tables_of_many_blocks(spark):
+    from reelspan.llm.wordlist import sorted_table
+
+    words = sorted({a + b + c for a in "aéжこ\U0001f600" for b in "bz￮" for c in ("", "q", "я")})
+    t = sorted_table(spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, n int").repartition(5), "word", 2)
+    assert len(t.blocks) > 10 and all(t.row(w) == (i,) for i, w in enumerate(words)) and t.row("") is None and t.row("ab0") is None and t.row("\U0010ffff") is None
+    for key in ("", "ab", "abq\0", "é", "жz\U0010ffff", "\U0001f600z0"):
+        assert t.next_key(key) == next((w for w in words if w >= key), None), key
+    assert t.next_key("\U0010ffff") is None and sorted_table(spark.createDataFrame([], "word string, n int"), "word").next_key("") is None
