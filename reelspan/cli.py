@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import argparse
 import json
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from reelspan import engine as en
-from reelspan.operators.intervals import line_seconds
 from reelspan.settings import Settings, load_settings
-from reelspan.sources import index, media, segments, subtitles
+from reelspan.sources import index, media, segments
 
 
 def parser() -> argparse.ArgumentParser:
@@ -37,17 +37,30 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _encoder(settings: Settings) -> index.Encoder:
+    if settings.models.text_model == "hashing":
+        return index.HashingEncoder()
     try:
         return index.sentence_encoder(settings.models.text_model, settings.models.device)
     except ImportError:
+        print("reelspan: sentence-transformers is missing, texts are matched by hashed words (models.text_model: hashing)", file=sys.stderr)
         return index.HashingEncoder()
 
 
+def _pair(make: Callable[..., index.Encoder], model: str, kind: str, **options) -> tuple[index.Encoder, index.Encoder] | None:  # noqa: ANN003
+    """Encoders of files and of queries, or None where the library is missing."""
+    try:
+        return make(model, kind, **options), make(model, "text", **options)
+    except ImportError:
+        print(f"reelspan: transformers is missing, {kind} counts for nothing", file=sys.stderr)
+        return None
+
+
 def _engine(spark: SparkSession, s: Settings, force: bool = False) -> en.Engine:
     root = s.paths.output_root
     videos = media.list_videos(spark, s.paths.video_root, s.preprocessing.suffixes, s.preprocessing.name_filter)
-    subs = media.find_subtitles(spark, videos, s.paths.subtitle_root, s.paths.video_root)
-    return en.text_engine(spark, segments.read_parquet(spark, f"{root}/segments"), line_seconds(subtitles.read_subtitles(spark, subs)), _encoder(s), f"{root}/index", s, force)
+    image = _pair(index.clip_encoder, s.models.clip_model, "image", device=s.models.device)
+    audio = _pair(index.clap_encoder, s.audio.model, "audio", rate=s.audio.sample_rate, device=s.models.device) if s.audio.enabled else None
+    return en.text_engine(spark, segments.read_parquet(spark, f"{root}/segments"), en.subtitle_lines(spark, s, videos), _encoder(s), f"{root}/index", s, force, image, audio)
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:

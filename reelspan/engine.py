@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelspan.functions import vectors
 from reelspan.functions.text import classify_query, cut, fmt_time, frame_pooling
 from reelspan.operators import intervals, timeline
 from reelspan.plans import evaluate as ev
@@ -21,25 +22,42 @@ from reelspan.sources import index, media, segments, subtitles
 NONE = "array<float>"
 
 
-def preprocess(spark: SparkSession, settings: Settings = Settings(), scores: DataFrame | None = None) -> DataFrame:
+def subtitle_lines(spark: SparkSession, settings: Settings, videos: DataFrame, track: Callable | None = None) -> DataFrame:
+    """Timed lines of the videos' subtitle files, or of the tracks inside those without a file: by ``track``, else by ffmpeg where there is one."""
+    p = settings.paths
+    subs = media.find_subtitles(spark, videos, p.subtitle_root, p.video_root)
+    lines = subtitles.read_subtitles(spark, subs)
+    track = track or (media.embedded_subtitles if media.ffmpeg() else None)
+    if track:
+        bare = videos.select("video", "path").join(subs.where("path IS NULL").select("video"), "video", "left_semi")
+        lines = lines.unionByName(subtitles.read_embedded(bare, track))
+    return intervals.line_seconds(lines)
+
+
+def preprocess(spark: SparkSession, settings: Settings = Settings(), scores: DataFrame | None = None, track: Callable | None = None, grab: Callable | None = None, sound: Callable | None = None) -> DataFrame:
     """Scenes of the videos under ``video_root`` with their subtitle text and keyframe names.
 
     ``scores`` (``video, frame, t, score``) are the frames' changes; without it they are decoded, which needs OpenCV.
-    Bounds are rounded to milliseconds. Decoding of frames and sounds into files is left to the caller's encoders.
+    Bounds are rounded to milliseconds. Keyframes and, if enabled, sounds are written as files by ``grab`` and ``sound``, else by
+    ffmpeg; where there is neither, the frames are names only.
     """
     p, out = settings.paths, settings.preprocessing
     videos = media.list_videos(spark, p.video_root, out.suffixes, out.name_filter)
-    subs = media.find_subtitles(spark, videos, p.subtitle_root, p.video_root)
-    lines = intervals.line_seconds(subtitles.read_subtitles(spark, subs))
+    lines = subtitle_lines(spark, settings, videos, track)
     scores = media.frame_scores(spark, videos, media.hsv_change) if scores is None else scores
     spans = timeline.scene_bounds(scores, "video", "frame", "t", "score", out.scene_threshold)
     text = intervals.concat_lines(spans, ["video", "scene_id"], lines)
     names = F.transform(F.sequence(F.lit(0), F.lit(len(out.frame_fractions) - 1)), lambda i: F.concat_ws("/", F.lit(p.output_root), F.lit("frames"), F.regexp_replace("video", r"\.[^.]+$", ""), F.col("scene_id").cast("string"), F.concat(F.lit("f"), i.cast("string"), F.lit(".jpg"))))
     empty = F.array().cast("array<string>")
-    return text.select(
+    made = text.select(
         "video", F.col("scene_id").cast("int").alias("scene_id"), F.round("s", 3).alias("start"), F.round("e", 3).alias("end"), F.round(F.col("e") - F.col("s"), 3).alias("duration"), F.col("line_text").alias("subtitle"),
         names.alias("frames"), F.lit("").alias("audio_path"), empty.alias("audio_events"), F.lit("").alias("audio_event_text"),
     )
+    if not (grab or sound or media.ffmpeg()):
+        return made
+    at = made.withColumn("times", timeline.keyframe_times(F.col("start"), F.col("end"), out.frame_fractions)).join(videos.select("video", "path"), "video")
+    folder = f"{p.output_root}/{settings.audio.scene_audio_dir}" if settings.audio.enabled else None
+    return media.with_scene_files(at, folder, settings.audio.sample_rate, grab or media.keyframe, sound or media.scene_audio).select(*made.columns)
 
 
 @dataclass
@@ -107,18 +125,38 @@ class Engine:
         g.orderBy("rank_pos").limit(show_top).select("rank_pos", "video", fmt_time(F.col("refined_start")).alias("begins"), fmt_time(F.col("refined_end")).alias("ends"), F.round("confidence", 3).alias("confidence"), cut(F.col("subtitle"), 200).alias("subtitle")).show(show_top, truncate=60)
 
 
-def text_engine(spark: SparkSession, scenes: DataFrame, lines: DataFrame, encoder: index.Encoder, path: str, settings: Settings = Settings(), force: bool = False) -> Engine:
-    """An engine over text alone: scenes (``SEGMENTS``) are encoded by ``encoder`` and kept at ``path`` while nothing changes."""
+def text_engine(spark: SparkSession, scenes: DataFrame, lines: DataFrame, encoder: index.Encoder, path: str, settings: Settings = Settings(), force: bool = False, image: tuple[index.Encoder, index.Encoder] | None = None, audio: tuple[index.Encoder, index.Encoder] | None = None) -> Engine:
+    """An engine over text and, where there are encoders of (files, queries), over ``image`` and ``audio``: scenes (``SEGMENTS``) are encoded
+    and kept at ``path`` while nothing changes. With ``audio``, the settings' labels nearest to a scene's sound become its ``audio_events``."""
     none = F.lit(None).cast(NONE)
 
     def build(s: DataFrame) -> DataFrame:
+        out, key = text_part(s), ["video", "scene_id"]
+        if image:
+            f = index.encoded(s.select(*key, F.explode("frames").alias("frame")), "frame", "image_vec", image[0])
+            pooled = vectors.pool_mean(f.select(F.to_json(F.struct(*key)).alias("key"), "image_vec"), "key", "image_vec")
+            out = out.join(pooled.select(F.from_json("key", "video string, scene_id int").alias("key"), "image_vec").select("key.*", "image_vec"), key, "left")
+        if audio:
+            sounds = index.encoded(s.select(*key, F.nullif("audio_path", F.lit("")).alias("sound")), "sound", "audio_vec", audio[0]).drop("sound")
+            names = spark.createDataFrame([(x, i) for i, x in enumerate(settings.audio.event_labels)], "label string, label_ord int")
+            sounds = cut_lineage(sounds)
+            labels = vectors.label_topk(sounds, key, "audio_vec", index.encoded(names, "label", "vec", audio[1]), settings.audio.top_k_events)
+            out = out.join(sounds, key, "left").join(labels, key, "left")
+        return out
+
+    def text_part(s: DataFrame) -> DataFrame:
         return index.encoded(segments.filled(s).select("video", "scene_id", F.col("start").alias("scene_start"), F.col("end").alias("scene_end"), "subtitle", "embed_text"), "embed_text", "text_vec", encoder)
 
-    vecs, _ = index.build_or_load(spark, scenes, path, {"text_model": encoder.name}, build, force)
+    vecs, _ = index.build_or_load(spark, scenes, path, {"text_model": encoder.name, **{k: e.name for k, x in (("image", image), ("audio", audio)) if x for k, e in ((k, x[0]), (f"{k}_query", x[1]))}, **({"labels": "|".join(settings.audio.event_labels), "top_k_events": str(settings.audio.top_k_events)} if audio else {})}, build, force)
     # a stable number for ties: the scene's own key
-    ready = vecs.withColumn("ord", F.xxhash64("video", "scene_id")).withColumn("image_vec", none).withColumn("audio_vec", none)
+    ready = vecs.withColumn("ord", F.xxhash64("video", "scene_id"))
+    for c, pair in (("image_vec", image), ("audio_vec", audio)):
+        ready = ready if pair else ready.withColumn(c, none)
 
     def encode(q: DataFrame) -> DataFrame:
-        return index.encoded(q.select("query_id", "query_text"), "query_text", "text_vec", encoder).withColumn("image_vec", none).withColumn("audio_vec", none)
+        out = index.encoded(q.select("query_id", "query_text"), "query_text", "text_vec", encoder)
+        for c, pair in (("image_vec", image), ("audio_vec", audio)):
+            out = index.encoded(out, "query_text", c, pair[1]) if pair else out.withColumn(c, none)
+        return out
 
     return Engine(spark, ready, lines, encode, settings=settings)

@@ -104,6 +104,35 @@ def embedded_subtitles(video: str) -> tuple[str, str] | None:
     return None
 
 
+def keyframe(video: str, t: float) -> bytes | None:
+    """The picture at a time, as JPEG."""
+    return run_ffmpeg(["-ss", f"{t:.3f}", "-i", video, "-frames:v", "1", "-f", "mjpeg", "pipe:1"])
+
+
+def with_scene_files(scenes: DataFrame, audio: str | None, rate: int, grab: Callable[[str, float], bytes | None] = keyframe, sound: Callable[[str, float, float, int], bytes | None] = scene_audio) -> DataFrame:
+    """``scenes`` (with ``path, times`` and names in ``frames``) with their pictures written, those that can't be left out of ``frames``, and,
+    under the folder ``audio`` if given, their sounds, in ``audio_path`` (empty where there is none). The folders are shared by all workers."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scenes.schema.fields)
+
+    def save(name: str, data: bytes | None) -> bool:
+        if data:
+            os.makedirs(os.path.dirname(name) or ".", exist_ok=True)
+            with open(name, "wb") as f:
+                f.write(data)
+        return bool(data)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            pictures, sounds = [], []
+            for video, scene, path, s, e, times, names in zip(f["video"], f["scene_id"], f["path"], f["start"], f["end"], f["times"], f["frames"]):
+                pictures.append([n for n, t in zip(names, times) if save(n, grab(path, float(t)))])
+                name = f"{audio}/{video.rpartition('.')[0] or video}/{scene}.wav" if audio else ""
+                sounds.append(name if audio and save(name, sound(path, float(s), float(e), rate)) else "")
+            yield f.assign(frames=pd.Series(pictures, index=f.index, dtype=object), audio_path=sounds)
+
+    return scenes.mapInPandas(run, fields)
+
+
 def frame_scores(spark: SparkSession, videos: DataFrame, score: Callable[[str], Iterator[tuple[int, float, float]]]) -> DataFrame:
     """``video, frame, t, score`` of ``videos`` (``video, path``) by a decoder: (frame, seconds, change from the frame before)."""
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +74,20 @@ def read_subtitles(spark: SparkSession, files: DataFrame) -> DataFrame:
     return named.join(content, "path").select("video", "path", "content").mapInPandas(parse, LINES)
 
 
+def read_embedded(videos: DataFrame, track: Callable[[str], tuple[str, str] | None]) -> DataFrame:
+    """Lines, as from ``read_subtitles``, of the subtitle tracks inside ``videos`` (``video, path``); ``track`` gives (text, suffix) or None."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for video, path in zip(f["video"], f["path"]):
+                if got := track(path):
+                    rows += [(video, i, *x) for i, x in enumerate(parse_srt(got[0]) if got[1] == ".srt" else parse_ass(got[0]))]
+            yield pd.DataFrame(rows, columns=["video", "line_no", "start_ms", "end_ms", "text"])
+
+    return videos.select("video", "path").mapInPandas(parse, LINES)
+
+
 def decode(data: bytes) -> str:
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return data.decode("utf-16", "replace")

@@ -136,3 +136,32 @@ def test_streams_take_each_record_once(spark, tmp_path):
     q = st.line_rates(spark.readStream.schema(df.schema).parquet(src), late="1 hour").writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.n_lines for r in spark.table("rates").collect()) == [1, 1, 1]
+
+
+def test_frames_sounds_tracks_and_labels_reach_the_index(spark, library):
+    """By stand-ins for ffmpeg and the encoders: files hold a word, which is encoded."""
+    from dataclasses import replace
+
+    class Files(index.HashingEncoder):
+        def encode(self, items):
+            return super().encode([open(p).read() if p else "" for p in items])
+
+    s = Settings(paths=Paths(str(library / "videos"), str(library / "subs"), str(library / "out")))
+    s = replace(s, audio=replace(s.audio, enabled=True, event_labels=("rain", "siren"), top_k_events=1))
+    track = lambda path: ("1\n00:00:01,000 --> 00:00:02,000\ninside\n", ".srt") if path.endswith("Other.avi") else None
+    grab = lambda path, t: b"scarf" if t < 10 else None
+    sound = lambda path, a, b, rate: b"siren" if a < 10 else b"rain" if a < 60 else None
+    scores = scores_of(spark).unionByName(scores_of(spark).where("video LIKE '%E01%'").selectExpr("'Other.avi' AS video", "frame", "t", "score"))
+    scenes = en.preprocess(spark, s, scores, track, grab, sound)
+    segments.write_parquet(scenes, str(library / "scenes"))
+    scenes = segments.read_parquet(spark, str(library / "scenes"))
+    rows = {(r.video, r.scene_id): r for r in scenes.collect()}
+    assert rows["Other.avi", 0].subtitle == "inside" and len(rows["Other.avi", 0].frames) == 5 and rows["Other.avi", 1].frames == [] and rows["Other.avi", 2].audio_path == ""
+    enc, files = index.HashingEncoder(), Files()
+    videos = media.list_videos(spark, s.paths.video_root)
+    e = en.text_engine(spark, scenes, en.subtitle_lines(spark, s, videos, track), enc, str(library / "ix3"), s, image=(files, enc), audio=(files, enc))
+    got = {r.scene_id: r for r in e.scenes.where("video = 'Other.avi'").collect()}
+    assert got[0].image_vec and not got[1].image_vec and got[0].audio_vec and not got[2].audio_vec
+    assert (got[0].audio_event_text, got[1].audio_event_text, got[2].audio_event_text) == ("siren", "rain", "")
+    found = {(r.video, r.scene_id): r for r in e.search(spark.createDataFrame([(0, "siren scarf")], "query_id int, query_text string")).collect()}
+    assert found["Other.avi", 0].image_score > 0.5 and found["Other.avi", 0].audio_score > 0.5
