@@ -61,16 +61,19 @@ def _atoms(text: str, most: int) -> tuple[list[int], list[int], list[int]]:
     return ends, sizes, kinds
 
 
-def split_text(text: str, most: int, overlap: int) -> list[tuple[int, int, int]]:
+def split_text(text: str, most: int, overlap: int, halved: bool = True) -> list[tuple[int, int, int]]:
     """(first character with overlap, first own character, end) of the pieces of ``text``, each at most ``most`` bytes.
 
     Neighbouring segments are merged as long as their size and the overlap fit, the weakest boundary first, of equally
     weak ones that of the smallest sum, then the leftmost. The overlap is the longest run of whole characters of at most
-    ``overlap`` bytes at the end of the piece before; it is less than half of ``most`` at the utmost.
+    ``overlap`` bytes at the end of the piece before. Where ``halved``, it is less than half of ``most`` at the utmost; else it is taken as
+    it is, and one that leaves no room for a character (4 bytes) raises.
     """
     if most < 4:
         raise ValueError("a piece must have room for any character: 4 bytes")
-    overlap = max(0, min(overlap, (most - 4) // 2))
+    overlap = max(0, min(overlap, (most - 4) // 2) if halved else overlap)
+    if overlap > most - 4:
+        raise ValueError(f"an overlap of {overlap} leaves no room for a character in a piece of {most} bytes")
     ends, sizes, kinds = _atoms(text, most - overlap)
     n = len(ends)
     left, right, alive, version = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n, [0] * n
@@ -124,7 +127,8 @@ def split_oversized(documents: DataFrame, limits: DataFrame, key: str = "source"
     ``documents`` has ``doc_id``, ``text`` and ``key``; ``limits`` has ``key``, ``max_tokens``, ``overlap_tokens`` and is
     broadcast by Spark only under its own threshold. A size is the number of UTF-8 bytes. Texts that fit, null texts,
     texts without a key or without a limit give no rows. With several limits of one key the smallest holds. Sizes are
-    compared before the text goes to Python, and texts are independent, so there is no shuffle of texts.
+    compared before the text goes to Python, and texts are independent, so there is no shuffle of texts. An overlap within 4
+    bytes of its limit raises.
     """
     lim = limits.where(F.col("max_tokens").isNotNull()).groupBy(F.trim(F.lower(F.col(key))).alias("_key")).agg(F.min_by(F.struct("max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("overlap_tokens")), F.struct("max_tokens", "overlap_tokens")).alias("_lim"))
     # the whole size, then the join by a short key: only texts over the limit leave the JVM
@@ -135,7 +139,7 @@ def split_oversized(documents: DataFrame, limits: DataFrame, key: str = "source"
         for f in frames:
             rows = []
             for doc, text, most, overlap in zip(f["doc_id"], f["text"], f["most"], f["overlap"]):
-                for no, (first, own, end) in enumerate(split_text(text, int(most), int(overlap))):
+                for no, (first, own, end) in enumerate(split_text(text, int(most), int(overlap), halved=False)):
                     piece = text[first:end]
                     rows.append((doc, no, first, own, end, len(piece.encode()), len(text[first:own].encode()), piece))
                     if len(rows) >= 2000:

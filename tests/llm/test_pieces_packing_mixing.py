@@ -101,3 +101,15 @@ def test_mix_comes_near_its_shares(spark):
     assert sorted((r.mix_id, r.doc_id, r.repeats) for r in picked.collect()) == sorted((r.mix_id, r.doc_id, r.repeats) for r in select_documents(docs.repartition(7), plan).collect())
     assert select_documents(docs.limit(0), plan_mixes(docs.limit(0), targets)).count() == 0
     assert plan_mixes(docs, targets.limit(0)).count() == 0
+
+
+def test_overlaps_over_half_of_the_limit_are_kept(spark):
+    text = "One two three. Four five six. " * 20 + "漢字。" * 30
+    docs = spark.createDataFrame([(1, text, "src")], "doc_id long, text string, source string")
+    limits = "source string, max_tokens int, overlap_tokens int"
+    for overlap in (70, 96):
+        rows = sorted(split_oversized(docs, spark.createDataFrame([("src", 100, overlap)], limits)).collect(), key=lambda r: r.piece_no)
+        assert all(r.size_tokens <= 100 for r in rows) and "".join(text[r.own_start_char : r.end_char] for r in rows) == text
+        assert all(r.overlap_size > overlap - 4 or r.start_char == p.start_char for p, r in zip(rows, rows[1:])) and any(r.overlap_size > 48 for r in rows)
+    with pytest.raises(Exception, match="leaves no room"):
+        split_oversized(docs, spark.createDataFrame([("src", 100, 97)], limits)).collect()
