@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.session import cut_lineage
@@ -15,19 +15,25 @@ from reelspan.session import cut_lineage
 
 @dataclass(frozen=True)
 class IndexParams:
-    """``lists_factor`` times the root of the number of vectors is the number of lists, at most ``max_lists``, which bounds the
-    broadcast centroids; ``sample``: rows that centroids and codebooks are fitted on (every row is indexed); ``margin``, ``max_copies``: a vector is also put into the lists whose centroid is by
-    at most ``margin`` less similar than its nearest, up to ``max_copies`` lists, and into as many of the nearest as a list of average
-    size needs to give a query ``least_candidates`` (one, in a large collection); ``subspaces``: bytes of a code; ``rerank``: candidates
-    of which the similarity is computed exactly."""
+    """``lists_factor`` times the root of the number of vectors is the number of lists, less where a list would be made for under ``list_rows``
+    vectors, and at most ``max_lists``, which bounds the centroids; ``sample``, ``fit_rows``: rows, and rows a list, that centroids and
+    codebooks are fitted on (every row is indexed); ``margin``, ``max_copies``: a vector also stands in the lists whose centroid is by at
+    most ``margin`` less similar than its nearest, up to ``max_copies`` lists; ``list_most``: rows that one task holds of a list. A larger
+    list is divided into lists of ``part_rows``, at most ``max_parts`` in all, and what is still larger is searched in blocks.
+    ``subspaces``: bytes of a code; ``rerank``: candidates of which the similarity is computed exactly."""
 
     lists_factor: float = 0.8
+    list_rows: int = 150
     max_lists: int = 8192
     sample: int = 16_384
-    margin: float = 0.05
-    max_copies: int = 4
-    least_candidates: int = 900
-    #: A list at home to fewer vectors is given up, and they go to the others; so each list has more than a query needs.
+    fit_rows: int = 16
+    margin: float = 0.10
+    max_copies: int = 8
+    list_most: int = 20_000
+    part_rows: int = 2_400
+    part_sample: int = 20_000
+    max_parts: int = 65_536
+    #: A list at home to fewer vectors, or to fewer than four times the wanted neighbours, is given up, and they go to the others.
     least_rows: int = 24
     subspaces: int = 64
     rerank: int = 96
@@ -38,32 +44,43 @@ class IndexParams:
     seed: int = 42
 
 
-def _matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(usable rows, their vectors): not null, not all zero, only finite components, all of the length most rows have."""
+def _matrix(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(usable rows, their vectors): not null, not all zero, only finite components, ``width`` long."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    lengths = np.diff(col.offsets.to_numpy()) if len(col) else np.zeros(0, np.int64)
-    valid = np.asarray(col.is_valid()) & (lengths > 0) if len(col) else np.zeros(0, bool)
-    if not valid.any():
-        return np.zeros(0, np.int64), np.zeros((0, 0), np.float32)
-    d = int(np.bincount(lengths[valid]).argmax())
-    rows = np.nonzero(valid & (lengths == d))[0]
+    if not len(col):
+        return np.zeros(0, np.int64), np.zeros((0, width), np.float32)
+    offsets = col.offsets.to_numpy()
+    rows = np.nonzero(np.asarray(col.is_valid()) & (np.diff(offsets) == width))[0]
     flat = col.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-    x = flat[col.offsets.to_numpy()[rows][:, None] + np.arange(d)] if len(rows) < len(col) else flat[col.offsets[0].as_py() :][: len(rows) * d].reshape(-1, d)
+    x = flat[offsets[rows][:, None] + np.arange(width)]
     fine = np.isfinite(x).all(1) & x.any(1)
     return rows[fine], x[fine]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float32)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    small = (n[:, 0] < 1e-18) | ~np.isfinite(n[:, 0])
+    if small.any():  # squares outside of single precision
+        y = x[small].astype(np.float64)
+        n = n.astype(np.float64)
+        n[small] = np.linalg.norm(y, axis=1, keepdims=True)
+    return (x / n).astype(np.float32)
+
+
+def _closest(x: np.ndarray, c: np.ndarray, block: int = 4096) -> np.ndarray:
+    """The row of ``c`` closest to each row of ``x``."""
+    half = 0.5 * (c * c).sum(1)
+    parts = [(x[i : i + block] @ c.T - half).argmax(1) for i in range(0, len(x), block)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def kmeans(x: np.ndarray, k: int, iterations: int, rng: np.random.Generator, spherical: bool = False) -> np.ndarray:
     """Lloyd's iterations; an empty cluster starts anew at a random row."""
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(iterations):
-        near = (x @ c.T - (0 if spherical else 0.5 * (c * c).sum(1))).argmax(1)
+        near = _closest(x, c)
         order = np.argsort(near, kind="stable")
         n = np.bincount(near, minlength=k)
         starts = np.r_[0, np.cumsum(n)[:-1]]
@@ -75,21 +92,85 @@ def kmeans(x: np.ndarray, k: int, iterations: int, rng: np.random.Generator, sph
     return c
 
 
-def fit(sample: np.ndarray, n: int, p: IndexParams) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, codebooks [subspace, 256, width]) from unit vectors; dimensions are padded to a multiple of the subspaces."""
-    rng = np.random.default_rng(p.seed)
-    lists = max(1, min(int(p.lists_factor * n**0.5), p.max_lists, len(sample)))
-    centroids = kmeans(sample, lists, p.iterations, rng, spherical=True)
-    rest = _pad(sample - centroids[(sample @ centroids.T).argmax(1)], p.subspaces)
-    width = rest.shape[1] // p.subspaces
-    rest = rest.reshape(len(rest), p.subspaces, width)
-    return centroids, np.stack([kmeans(np.ascontiguousarray(rest[:, m]), 256, p.iterations, rng) for m in range(p.subspaces)])
+def radii(rest: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """Root mean square length of the residuals of each list; where there are none, of all."""
+    length = (rest * rest).sum(1)
+    n = np.bincount(near, minlength=k)
+    own = np.sqrt(np.bincount(near, weights=length, minlength=k) / np.maximum(n, 1))
+    usual = float(np.sqrt(length.mean())) if len(length) and length.any() else 1.0
+    return np.where(own > 0, own, usual).astype(np.float32)
+
+
+@dataclass
+class Lists:
+    """Unit centroids ``centres``; those with parts have the rows ``starts[i]:starts[i + 1]`` of ``parts``, offsets from the centroid.
+
+    Numbers of lists: that of the centroid, or, of a part, the number of centroids and that of the part. ``scale`` is by those."""
+
+    centres: np.ndarray
+    scale: np.ndarray
+    starts: np.ndarray
+    parts: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.scale)
+
+    @staticmethod
+    def of(centres: np.ndarray, scale: np.ndarray) -> Lists:
+        return Lists(centres, scale, np.zeros(len(centres) + 1, np.int64), np.zeros((0, centres.shape[1]), np.float32))
+
+    def nearest(self, x: np.ndarray, p: IndexParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, whether at home) of every list that the unit vectors ``x`` stand in."""
+        near = x @ self.centres.T
+        c = min(p.max_copies, len(self.centres))
+        lists = np.argpartition(-near, c - 1, axis=1)[:, :c] if c < len(self.centres) else np.repeat(np.arange(c)[None], len(x), 0)
+        sims = np.take_along_axis(near, lists, 1)
+        own = np.zeros(sims.shape, bool)
+        own[np.arange(len(x)), sims.argmax(1)] = True
+        row, slot = np.nonzero(sims >= sims.max(1, keepdims=True) - p.margin)
+        at, own = lists[row, slot], own[row, slot]
+        split = np.diff(self.starts)[at] > 0
+        if not split.any():
+            return row, at, own
+        out = [(row[~split], at[~split], own[~split])]
+        for f in np.unique(at[split]):
+            some = np.nonzero(at == f)[0]
+            parts = self.parts[self.starts[f] : self.starts[f + 1]]
+            dist = 0.5 * (parts * parts).sum(1) - (x[row[some]] - self.centres[f]) @ parts.T
+            two = np.argsort(dist, axis=1, kind="stable")[:, :2]  # its own part and the next
+            first = len(self.centres) + self.starts[f]
+            for j in range(two.shape[1]):
+                out.append((row[some], first + two[:, j], own[some] & (j == 0)))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def keep(self, some: np.ndarray) -> Lists:
+        """Only the lists marked in ``some``; a centroid stays as long as it or any part of it does."""
+        n, owner = len(self.centres), np.repeat(np.arange(len(self.centres)), np.diff(self.starts))
+        parts = np.bincount(owner[some[n:]], minlength=n)
+        left = np.where(np.diff(self.starts) > 0, parts > 0, some[:n])
+        return Lists(self.centres[left], np.r_[self.scale[:n][left], self.scale[n:][some[n:]]], np.r_[0, np.cumsum(parts[left])].astype(np.int64), self.parts[some[n:]])
+
+    def offset(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Vectors less the centroids of their lists, by the radius of those."""
+        part = lists - len(self.centres)
+        owner = np.where(part < 0, lists, np.searchsorted(self.starts, part, side="right") - 1)
+        rest = x - self.centres[owner]
+        rest[part >= 0] -= self.parts[part[part >= 0]]
+        return rest / self.scale[lists, None]
 
 
 def _pad(x: np.ndarray, subspaces: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, -x.shape[1] % subspaces)))
 
 
+def codebooks(rest: np.ndarray, p: IndexParams) -> np.ndarray:
+    """Codewords [subspace, 256, width] of scaled residuals; dimensions are padded to a multiple of the subspaces."""
+    rest = _pad(rest, p.subspaces)
+    rest = rest.reshape(len(rest), p.subspaces, -1)
+    rng = np.random.default_rng(p.seed)
+    return np.stack([kmeans(np.ascontiguousarray(rest[:, m]), 256, p.iterations, rng) for m in range(p.subspaces)])
+
+
 def encode(rest: np.ndarray, books: np.ndarray) -> np.ndarray:
     """Codes [row, subspace] of residuals: the nearest codeword of each subspace."""
     m, _, width = books.shape
@@ -100,147 +181,212 @@ def encode(rest: np.ndarray, books: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_list(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, home: np.ndarray, books: np.ndarray, k: int, rerank: int, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, neighbour ids, cosines), flat, for the rows of one list that are at home in it, against all of the list.
+def search_list(ids: np.ndarray, x: np.ndarray, rest: np.ndarray, codes: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_rest: np.ndarray, books: np.ndarray, k: int, rerank: int, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, neighbour ids, cosines), flat, of the queries ``q`` against the rows of one list; ``ids`` ascend.
 
-    Each query has one table of inner products with all codewords; the sum of its entries at a row's codes ranks the
-    rows (the centroid's part is the same for all). The first ``rerank`` are compared exactly.
+    Each query has one table of inner products of its residual ``q_rest`` with all codewords; the sum of its entries at a row's
+    codes, with the length of the row's own residual (``rest``), is its estimated distance, which ranks the rows. The first ``rerank``
+    are compared exactly, by their difference, which tells apart nearly equal ones too.
     """
     m, _, width = books.shape
-    queries = np.nonzero(home)[0]
     out_q, out_n, out_s = [], [], []
-    r = min(rerank, len(ids) - 1)
-    if r < 1:
-        return np.zeros(0, ids.dtype), np.zeros(0, ids.dtype), np.zeros(0, np.float32)
-    for at in range(0, len(queries), block):
-        rows = queries[at : at + block]
-        q = _pad(x[rows], m).reshape(len(rows), m, width)
-        sums = np.zeros((len(ids), len(rows)), np.float32)
+    r = min(rerank, len(ids))
+    half = 0.5 * (rest * rest).sum(1, keepdims=True)
+    for at in range(0, len(q_ids), block) if r else ():
+        who, qs = q_ids[at : at + block], q[at : at + block]
+        parts = _pad(q_rest[at : at + block], m).reshape(len(who), m, width)
+        sums = np.repeat(half, len(who), 1)
         for j in range(m):
-            sums += np.take(books[j] @ np.ascontiguousarray(q[:, j]).T, codes[:, j], axis=0)
-        sums[rows, np.arange(len(rows))] = -np.inf
+            sums -= np.take(books[j] @ np.ascontiguousarray(parts[:, j]).T, codes[:, j], axis=0)
+        me = np.searchsorted(ids, who)
+        mine = (me < len(ids)) & (ids[np.minimum(me, len(ids) - 1)] == who)
+        sums[me[mine], np.nonzero(mine)[0]] = np.inf
         sums = np.ascontiguousarray(sums.T)
-        if r < len(ids) - 1:
-            near = np.argpartition(-sums, r - 1, axis=1)[:, :r]
-        else:
-            near = np.argsort(-sums, axis=1)[:, :r]
-        exact = np.matmul(x[near], x[rows][:, :, None])[:, :, 0]
+        near = np.argpartition(sums, r - 1, axis=1)[:, :r] if r < len(ids) else np.repeat(np.arange(r)[None], len(who), 0)
+        gap = x[near] - qs[:, None, :]
+        dist = np.einsum("qrd,qrd->qr", gap, gap)
+        dist[ids[near] == who[:, None]] = np.inf
         if k < r:
-            some = np.argpartition(-exact, k - 1, axis=1)[:, :k]
-            near, exact = np.take_along_axis(near, some, 1), np.take_along_axis(exact, some, 1)
-        out_q.append(np.repeat(ids[rows], near.shape[1])), out_n.append(ids[near].ravel()), out_s.append(exact.ravel())
+            some = np.argpartition(dist, k - 1, axis=1)[:, :k]
+            near, dist = np.take_along_axis(near, some, 1), np.take_along_axis(dist, some, 1)
+        fine = np.isfinite(dist)
+        row, slot = np.nonzero(fine)
+        out_q.append(who[row]), out_n.append(ids[near[row, slot]]), out_s.append(1.0 - 0.5 * dist[row, slot].astype(np.float64))
     if not out_q:
-        return np.zeros(0, ids.dtype), np.zeros(0, ids.dtype), np.zeros(0, np.float32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return np.concatenate(out_q), np.concatenate(out_n), np.concatenate(out_s)
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Rows with the first bytes of all components first, then the second ones, and so on: equal bytes lie together for the exchange's codec."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1, 4).transpose(0, 2, 1)).reshape(len(x), -1)
+
+
+def _from_planes(b: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(b.reshape(len(b), 4, -1).transpose(0, 2, 1)).reshape(len(b), -1).view(np.float32)
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    """Rows of bytes as a column."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+
+
+def _bytes(col: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The rows of ``_binary``, each ``width`` bytes."""
+    col = col.combine_chunks()
+    start = np.frombuffer(col.buffers()[1], np.int32)[col.offset] if len(col) else 0
+    return np.frombuffer(col.buffers()[2], np.uint8, count=len(col) * width, offset=int(start)).reshape(-1, width)
+
+
+def _prints(x: np.ndarray) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh3_64_intdigest(v.tobytes()) for v in x], np.uint64).view(np.int64)
+
+
 NEIGHBOURS = "id bigint, neighbour bigint, cosine double"
 
 
 def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, params: IndexParams = IndexParams()) -> DataFrame:
     """``id, neighbour, cosine``: the ``k`` most similar other vectors of every usable vector, with little lost.
 
-    A vector is usable if it is not null, not all zero and finite in all components; its length does not matter. Rows with
-    the same id are one vector (repeated rows); null ids are left out. Every usable row is indexed and is a query. Ties beyond the k-th go to any
-    of the tied. A collection of one gives none.
+    A vector is usable if it is not null, not all zero, finite in all components and as wide as most vectors of the table are (of
+    equally frequent widths, the larger); its length does not matter. Rows with the same id are one vector (repeated rows); null
+    ids are left out. Every usable row is indexed and is a query. Ties beyond the k-th go to any of the tied. A collection of one gives none.
 
-    Centroids and codebooks are fitted on ``params.sample`` rows on the driver and broadcast (at most ``max_lists`` centroids). Each
-    vector is at home in one list, and stands in the lists whose centroid is nearly as near; so the whole search of a query
-    happens in its own list, after one exchange. A vector repeated in more than ``heavy_share`` of the rows stands there
-    once, and its copies are each other's neighbours, so that no list gets all copies.
+    Centroids and codebooks are fitted on a sample in proportion to the lists on the driver, and broadcast. Each vector is at home in one
+    list, and stands in those that are nearly as near; so the whole search of a query happens in its own list, after one exchange. Rows
+    are counted by list before: lists with too few are given up, lists with more than ``list_most`` are divided by the differences from
+    their centroid, which also part nearly equal vectors, and of what is larger still each block of queries meets each block of rows: no
+    task holds a list of any
+    size. A vector repeated in more than ``heavy_share`` of the rows stands there once, and its copies are each other's neighbours.
     """
     spark, p = vectors.sparkSession, params
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
-    total = rows.select("id").count()
-    every = max(1, total // max(1, p.sample))
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(every)) == 0)
-    sample = picked.mapInArrow(_raw, "vec binary").limit(4 * p.sample).toArrow()["vec"].to_pylist()
-    if not sample and total:  # few usable rows, none of them picked by the hash
-        sample = rows.mapInArrow(_raw, "vec binary").limit(p.sample).toArrow()["vec"].to_pylist()
-    if not sample:
-        return spark.createDataFrame([], NEIGHBOURS)
-    width = max(set(map(len, sample)), key=[len(v) for v in sample].count)
-    fitted = _unit(np.frombuffer(b"".join(v for v in sample if len(v) == width), np.float32).reshape(-1, width // 4))
-    centroids, books = fit(fitted, total, p)
-    first_fit = spark.sparkContext.broadcast(centroids)
+    empty = spark.createDataFrame([], NEIGHBOURS)
+    # a row a width
+    widths = rows.groupBy(F.size("vec").alias("w")).agg(F.count("*").alias("n")).where("w > 0").orderBy(F.desc("n"), F.desc("w")).limit(1).collect()
+    if not widths:
+        return empty
+    width = int(widths[0].w)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        cents = first_fit.value
         for b in batches:
-            use, x = _matrix(b.column(1))
-            if not len(use) or x.shape[1] != cents.shape[1]:
-                continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)[use]
-            prints = np.array([xxhash.xxh3_64_intdigest(v.tobytes()) for v in x], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(prints), pa.array((_unit(x) @ cents.T).argmax(1).astype(np.int32))], ["id", "print", "list"])
-
-    # without the vectors: ids, fingerprints, nearest lists
-    seen = cut_lineage(rows.mapInArrow(scan, "id bigint, print bigint, list int"))
-    n = seen.count()
+            use, x = _matrix(b.column(1), width)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(use)), pa.array(_prints(x), pa.int64())], ["id", "print"])
+
+    # without the vectors: ids and fingerprints
+    seen = cut_lineage(rows.mapInArrow(scan, "id bigint, print bigint"))
+    per_id = seen.groupBy("id").agg(F.count("*").alias("c"))
+    n = per_id.count()
+    if not n:
+        return empty
     limit = max(p.heavy_least, int(n * p.heavy_share))
-    # a row for each list, at most max_lists
-    at_home = {r["list"]: r["c"] for r in seen.groupBy("list").agg(F.count_distinct("id").alias("c")).collect()}
-    enough = min(p.least_rows, max(at_home.values(), default=0))
-    centroids = centroids[[i for i in range(len(centroids)) if at_home.get(i, 0) >= enough]] if at_home else centroids
-    # copies of the same vector in bounded number: fewer than 1 / heavy_share prints
-    heavy = seen.groupBy("print").agg(F.count_distinct("id").alias("c")).where(F.col("c") > limit).select("print")
-    first = seen.join(F.broadcast(heavy), "print").select("print", "id").distinct()
-    first = first.withColumn("r", F.row_number().over(_by_print())).where(F.col("r") <= k + 1)
-    copies: dict[int, list[int]] = {}
-    for r in first.collect():
-        copies.setdefault(r["print"], []).append(r["id"])
-    copies = {key: sorted(v) for key, v in copies.items()}
-    standing = max(1, min(len(centroids), int(p.least_candidates * len(centroids) / max(1, n))))
-    model = spark.sparkContext.broadcast((centroids, books, copies))
+    copies = _copies(seen, limit, k)
+    # ids of very many repeated rows, of which a task sends the first: fewer than 1 / heavy_share
+    repeated = frozenset(r.id for r in per_id.where(F.col("c") > limit).select("id").collect())
+    lists, books = _fit(rows, n, width, p)
+    box = spark.sparkContext.broadcast((lists, books, copies))
+
+    def standing(b: pa.RecordBatch, sent: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, vectors) of a batch that stand in lists: usable ones, each id once, of copies the first; ``sent``: repeated ids that the task has had."""
+        use, x = _matrix(b.column(1), width)
+        ids, first = np.unique(b.column(0).to_numpy(zero_copy_only=False)[use], return_index=True)
+        x = x[first]
+        if repeated and len(ids):
+            keep = np.array([i not in sent for i in ids.tolist()], bool)
+            ids, x = ids[keep], x[keep]
+            sent.update(repeated.intersection(ids.tolist()))
+        if copies and len(ids):
+            found = box.value[2]
+            keep = np.array([f not in found or found[f][0] == i for f, i in zip(_prints(x).tolist(), ids.tolist())], bool)
+            ids, x = ids[keep], x[keep]
+        return ids, x
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = box.value[0]
+        home, all_, sent = np.zeros(len(lists), np.int64), np.zeros(len(lists), np.int64), set()
+        for b in batches:
+            _, x = standing(b, sent)
+            if len(x):
+                _, at, own = lists.nearest(_unit(x), p)
+                all_ += np.bincount(at, minlength=len(lists))
+                home += np.bincount(at[own], minlength=len(lists))
+        some = np.nonzero(all_)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(home[some]), pa.array(all_[some])], ["list", "home", "n"])
+
+    def counted() -> tuple[np.ndarray, np.ndarray]:
+        """(rows at home, rows) of the lists: a row a list and task, added up."""
+        home, size = np.zeros(len(lists), np.int64), np.zeros(len(lists), np.int64)
+        for r in rows.mapInArrow(count, "list bigint, home bigint, n bigint").groupBy("list").agg(F.sum("home").alias("home"), F.sum("n").alias("n")).collect():
+            home[r.list], size[r.list] = r.home, r.n
+        return home, size
+
+    home, size = counted()
+    if (size > p.list_most).any():
+        lists = _divided(rows, lists, size, width, p)
+        box = spark.sparkContext.broadcast((lists, books, copies))
+        home, size = counted()
+    is_list = np.r_[np.diff(lists.starts) == 0, np.ones(len(lists.parts), bool)]
+    kept = is_list & (home >= min(max(p.least_rows, 4 * k), int(home.max())))
+    lists = lists.keep(kept)
+    # numbered as before, without those given up; a centroid with parts has its number still
+    blocks = np.ones(len(lists), np.int64)
+    split = np.diff(lists.starts) > 0
+    blocks[np.r_[~split, np.ones(len(lists.parts), bool)]] = np.maximum(1, -(-size[kept] // p.list_most))
+    box = spark.sparkContext.broadcast((lists, books, copies))
+    blocks_box = spark.sparkContext.broadcast(blocks)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        cents, books, copies = model.value
+        lists, books, _ = box.value
+        blocks, sent = blocks_box.value, set()
         for b in batches:
-            use, x = _matrix(b.column(1))
-            if not len(use) or x.shape[1] != cents.shape[1]:
+            ids, x = standing(b, sent)
+            if not len(x):
                 continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)[use]
-            if copies:
-                prints = np.array([xxhash.xxh3_64_intdigest(v.tobytes()) for v in x], np.uint64).view(np.int64)
-                keep = np.array([f not in copies or copies[f][0] == i for f, i in zip(prints.tolist(), ids.tolist())])
-                ids, x = ids[keep], x[keep]
             unit = _unit(x)
-            near = unit @ cents.T
-            c = min(max(p.max_copies, standing), len(cents))
-            lists = np.argpartition(-near, c - 1, axis=1)[:, :c] if c < len(cents) else np.repeat(np.arange(c)[None], len(x), 0)
-            sims = np.take_along_axis(near, lists, 1)
-            best = sims.max(1, keepdims=True)
-            home = np.zeros(sims.shape, bool)
-            home[np.arange(len(x)), sims.argmax(1)] = True
-            row, slot = np.nonzero((sims >= best - p.margin) | (sims >= -np.sort(-sims, 1)[:, standing - 1 : standing]))
-            at = lists[row, slot]
-            codes = encode(unit[row] - cents[at], books)
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * 4), len(row), [None, pa.py_buffer(np.ascontiguousarray(x[row]))])
-            code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(row), [None, pa.py_buffer(codes)])
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(ids[row]), pa.array(home[row, slot]), raw.cast(pa.binary()), code.cast(pa.binary())], ["list", "id", "home", "vec", "code"])
+            row, at, own = lists.nearest(unit, p)
+            codes = encode(lists.offset(unit[row], at), books)
+            # a list in one block: (0, 0). Else a row goes as a member to every block of queries, and as a query to every block of members
+            many = blocks[at]
+            mine = ids[row] % many
+            rep = np.repeat(np.arange(len(row)), np.where(many == 1, 1, np.where(own, 2 * many, many)))
+            turn = np.arange(len(rep)) - np.repeat(np.r_[0, np.cumsum(np.bincount(rep, minlength=len(row)))[:-1]], np.bincount(rep, minlength=len(row)))
+            asks = (many[rep] > 1) & (turn >= many[rep])
+            q_block = np.where(asks, mine[rep], np.where(many[rep] > 1, turn, 0))
+            m_block = np.where(asks, turn - many[rep], np.where(many[rep] > 1, mine[rep], 0))
+            role = np.where(many[rep] == 1, np.where(own[rep], 3, 1), np.where(asks, 2, 1)).astype(np.int8)  # 1 a member, 2 a query, 3 both
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at[rep]), pa.array(q_block.astype(np.int32)), pa.array(m_block.astype(np.int32)), pa.array(ids[row][rep]), pa.array(role), _binary(_planes(x)[row][rep]), _binary(codes[rep])],
+                ["list", "q_block", "m_block", "id", "role", "vec", "code"],
+            )
 
     def search(group: pa.Table) -> pa.Table:
-        _, books, copies = model.value
-        ids, at = np.unique(group["id"].to_numpy(), return_index=True)
-        vec = group["vec"].combine_chunks()
-        code = group["code"].combine_chunks()
-        x = _unit(np.frombuffer(vec.buffers()[2], np.float32, offset=vec.offset and vec.offset * width).reshape(-1, width // 4)[: len(vec)][at])
-        codes = np.frombuffer(code.buffers()[2], np.uint8).reshape(-1, books.shape[0])[: len(code)][at]
-        home = np.asarray(group["home"])[at]
+        lists, books, copies = box.value
+        ids, role = group["id"].to_numpy(), group["role"].to_numpy()
+        unit = _unit(_from_planes(_bytes(group["vec"], 4 * width)))
+        codes = _bytes(group["code"], books.shape[0])
+        rows = np.nonzero(role & 1)[0]
+        m_ids, first = np.unique(ids[rows], return_index=True)
+        rows = rows[first]
+        asking = np.nonzero(role & 2)[0]
+        q_ids, first = np.unique(ids[asking], return_index=True)
+        asking = asking[first]
         many = {v[0]: v for v in copies.values()}
         if many:
-            home = home & ~np.isin(ids, np.fromiter(many, np.int64))
-        q, nb, s = search_list(ids, x, codes, home, books, k, p.rerank)
+            left = ~np.isin(q_ids, np.fromiter(many, np.int64))
+            q_ids, asking = q_ids[left], asking[left]
+        which = group["list"][0].as_py()
+        q, nb, s = search_list(m_ids, unit[rows], lists.offset(unit[rows], np.full(len(rows), which)), codes[rows], q_ids, unit[asking], lists.offset(unit[asking], np.full(len(asking), which)), books, k, p.rerank)
         if many:
             q, nb, s = _expand(q, nb, s, many, k)
         return pa.table({"id": q.astype(np.int64), "neighbour": nb.astype(np.int64), "cosine": s.astype(np.float64)})
 
-    placed = rows.mapInArrow(place, "list int, id bigint, home boolean, vec binary, code binary")
-    found = placed.groupBy("list").applyInArrow(search, NEIGHBOURS)
+    placed = rows.mapInArrow(place, "list bigint, q_block int, m_block int, id bigint, role tinyint, vec binary, code binary")
+    found = placed.groupBy("list", "q_block", "m_block").applyInArrow(search, NEIGHBOURS)
+    if (blocks > 1).any():  # the best of all blocks, k rows a query and block
+        best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
+        found = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
     if not copies:
         return found
     # of the many copies of one vector each has the first k others
@@ -250,16 +396,87 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, params: I
     return found.unionByName(same)
 
 
-def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        _, x = _matrix(b.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary())], ["vec"])
+def _picked(seed: int, share: float) -> Column:
+    """About ``share`` of all ids, by a hash: the same whatever the order or the partitions."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40))
+
 
+def _sampled(rows: DataFrame, share: float, width: int, seed: int, key: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``key, vec`` of the usable vectors of about ``share`` of the ids, those with a negative key left out; of repeated ids each task has one.
 
-def _by_print():  # noqa: ANN202
-    from pyspark.sql import Window
+    ``key`` is of vectors of length 1 and of numbers from 0 to 1 that depend on the id."""
 
-    return Window.partitionBy("print").orderBy("id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had: set[int] = set()
+        for b in batches:
+            use, x = _matrix(b.column(1), width)
+            ids, first = np.unique(b.column(0).to_numpy(zero_copy_only=False)[use], return_index=True)
+            new = np.array([i not in had for i in ids.tolist()], bool)
+            had.update(ids.tolist())
+            ids, x = ids[new], x[first[new]]
+            of = key(_unit(x), (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) / 2**53) if key and len(x) else np.zeros(len(x), np.int64)
+            if (of >= 0).any():
+                yield pa.RecordBatch.from_arrays([pa.array(of[of >= 0]), _binary(_planes(x[of >= 0]))], ["key", "vec"])
+
+    return rows.where(_picked(seed, share)).mapInArrow(run, "key bigint, vec binary")
+
+
+def _fit(rows: DataFrame, n: int, width: int, p: IndexParams) -> tuple[Lists, np.ndarray]:
+    """The lists and codebooks of ``n`` usable vectors, from a sample in proportion to the lists."""
+    total = max(1, min(int(p.lists_factor * n**0.5), n // p.list_rows, p.max_lists))
+    share, got = max(p.sample, p.fit_rows * total) / n, []
+    while not len(got):  # a few vectors, none of them picked
+        got = _sampled(rows, share, width, p.seed).toArrow()["vec"]
+        share *= 4
+    x = _unit(_from_planes(_bytes(got, 4 * width)))
+    centres = kmeans(x, min(total, len(x)), p.iterations, np.random.default_rng(p.seed), spherical=True)
+    near = _closest(x, centres)
+    lists = Lists.of(centres, radii(x - centres[near], near, len(centres)))
+    some = np.random.default_rng(p.seed).permutation(len(x))[: p.sample]
+    return lists, codebooks(lists.offset(x[some], near[some]), p)
+
+
+def _divided(rows: DataFrame, lists: Lists, size: np.ndarray, width: int, p: IndexParams) -> Lists:
+    """``lists`` with those of more than ``list_most`` rows in parts of about ``part_rows``, fitted on the executors on ``part_sample`` rows each."""
+    large = np.nonzero(size > p.list_most)[0]
+    want = np.maximum(2, size[large] // p.part_rows)
+    want = np.maximum(2, (want * min(1.0, p.max_parts / want.sum())).astype(np.int64))
+    number = np.full(len(lists.centres), -1)
+    number[large] = np.arange(len(large))
+    box = rows.sparkSession.sparkContext.broadcast((lists.centres, number, np.minimum(want, p.part_sample // 8), p.part_sample / size[large]))
+
+    def key(x: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        centres, number, _, share = box.value
+        of = number[(x @ centres.T).argmax(1)]
+        return np.where(chance < share[of], of, -1)
+
+    def fit(group: pa.Table) -> pa.Table:
+        centres, number, want, _ = box.value
+        f = group["key"][0].as_py()
+        x = _unit(_from_planes(_bytes(group["vec"], 4 * width)))
+        rest = x - centres[np.nonzero(number == f)[0][0]]
+        c = kmeans(rest, int(min(want[f], len(rest))), p.iterations, np.random.default_rng(p.seed))
+        near = _closest(rest, c)
+        return pa.table({"key": pa.array([f] * len(c), pa.int64()), "part": _binary(c.astype(np.float32).view(np.uint8).reshape(len(c), -1)), "radius": pa.array(radii(rest - c[near], near, len(c)), pa.float32())})
+
+    # a row a part, at most max_parts
+    made = _sampled(rows, 1.0, width, p.seed, key).groupBy("key").applyInArrow(fit, "key bigint, part binary, radius float").toArrow()
+    owner, part, radius = made["key"].to_numpy(), _bytes(made["part"], 4 * width).view(np.float32), made["radius"].to_numpy()
+    order = np.argsort(owner, kind="stable")
+    counts = np.zeros(len(lists.centres), np.int64)
+    counts[large] = np.bincount(owner, minlength=len(large))
+    return Lists(lists.centres, np.concatenate([lists.scale, radius[order]]).astype(np.float32), np.r_[0, np.cumsum(counts)], part[order].astype(np.float32))
+
+
+def _copies(seen: DataFrame, limit: int, k: int) -> dict[int, list[int]]:
+    """The first ids of each vector that more than ``limit`` ids have, in bounded number: fewer than 1 / heavy_share vectors."""
+    heavy = seen.groupBy("print").agg(F.count_distinct("id").alias("c")).where(F.col("c") > limit).select("print")
+    first = seen.join(F.broadcast(heavy), "print").select("print", "id").distinct()
+    first = first.withColumn("r", F.row_number().over(Window.partitionBy("print").orderBy("id"))).where(F.col("r") <= k + 1)
+    copies: dict[int, list[int]] = {}
+    for r in first.collect():
+        copies.setdefault(r["print"], []).append(r["id"])
+    return {key: sorted(v) for key, v in copies.items()}
 
 
 def _expand(q: np.ndarray, nb: np.ndarray, s: np.ndarray, many: dict[int, list[int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

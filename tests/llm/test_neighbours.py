@@ -1,8 +1,9 @@
 """The neighbour index: recall against brute force, copies, unusable vectors, small tables."""
 
 import numpy as np
+import pytest
 
-from reelspan.llm.neighbours import IndexParams, encode, fit, nearest
+from reelspan.llm.neighbours import IndexParams, codebooks, encode, kmeans, nearest
 
 DDL = "id int, v array<float>, vec string, neighbour int"
 
@@ -55,9 +56,46 @@ def test_unusable_vectors_and_small_tables(spark):
 def test_codes_are_the_nearest_codewords():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 10)).astype(np.float32)
-    cents, books = fit(x, 600, IndexParams(subspaces=4))
-    rest = np.pad(x - cents[(x @ cents.T).argmax(1)], ((0, 0), (0, 2))).reshape(600, 4, 3)
-    codes = encode(x - cents[(x @ cents.T).argmax(1)], books)
+    cents, p = kmeans(x, 8, 4, rng), IndexParams(subspaces=4)
+    rest = x - cents[((x[:, None] - cents[None]) ** 2).sum(2).argmin(1)]
+    books = codebooks(rest, p)
+    padded = np.pad(rest, ((0, 0), (0, 2))).reshape(600, 4, 3)
+    codes = encode(rest, books)
     for m in range(4):
-        dist = ((rest[:, m, None] - books[m][None]) ** 2).sum(2)
+        dist = ((padded[:, m, None] - books[m][None]) ** 2).sum(2)
         assert np.allclose(dist[np.arange(600), codes[:, m]], dist.min(1), atol=1e-4)
+
+
+def test_another_width_in_any_partitioning_takes_nothing_from_the_usual_one(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=16)) for i in range(300)] + [(1000 + i, rng.normal(size=9)) for i in range(100)]
+    for order in (rows, rows[250:] + rows[:250]):
+        for parts in (1, 3):
+            got = {r.id for r in nearest(frame(spark, order).coalesce(parts), "id", "v").collect()}
+            assert got == set(range(300))
+
+
+@pytest.mark.parametrize("params", [{"part_rows": 60}, {"part_rows": 10**9}])
+def test_lists_of_nearly_equal_vectors_are_divided_or_searched_in_blocks(spark, params):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1200, 16)).astype(np.float32)
+    x[::2] = x[0] + 1e-4 * rng.normal(size=(600, 16))
+    x[3::6] = x[3] + 0.3 * rng.normal(size=(200, 16))
+    got = {}
+    for r in nearest(frame(spark, list(enumerate(x))), "id", "v", params=IndexParams(list_most=100, **params)).collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    assert set(got) == set(range(1200)) and all(len(set(v)) == 5 for v in got.values())
+    for i in range(0, 1200, 50):  # of the nearly equal ones, any of what is as near to within single precision
+        sims = unit @ unit[i]
+        sims[i] = -2
+        assert (sims[got[i]] >= np.sort(sims)[-5] - 1e-7).all()
+
+
+def test_an_id_with_a_third_of_all_rows_counts_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8)) for i in range(60)] + [(7, [1.0] * 8)] * 200
+    got = {}
+    for r in nearest(frame(spark, rows), "id", "v").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert set(got) == set(range(60)) and all(len(set(v)) == 5 for v in got.values())
