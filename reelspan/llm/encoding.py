@@ -29,11 +29,16 @@ ENTER_WIDE, ENTER_NARROW, AGAIN, LEAVE = 5.0, 9.0, 2.0, 1.0
 #: Against a narrow reading that turns what may be a word into none that the corpus has; again for each mark that becomes a letter.
 DOUBT = 9.0
 FLOOR = 1e-7
+#: What is added to the count of a character: some two of a class are met for the first time, out of a thousand there are.
+UNSEEN = 0.002
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _LETTER = re.compile(r"[^\W\d_]")
 _JOINTS = frozenset("'’-")
+_UNNATURAL = frozenset("zxyY")
+#: Classes of letters of which the scripts are not written together.
+_SCRIPTS = {**dict.fromkeys("aAlL", "l"), **dict.fromkeys("cC", "c"), **dict.fromkeys("gG", "g"), "o": "o"}
 
 
 @lru_cache(maxsize=70_000)
@@ -58,6 +63,22 @@ def kind_of(c: str) -> str:
     return "p" if cat[0] == "P" else "s"
 
 
+class _Kinds(dict):
+    """For ``str.translate``: the class of every character, found when it is first met."""
+
+    def __missing__(self, o: int) -> str:
+        self[o] = k = kind_of(chr(o))
+        return k
+
+
+_KINDS = _Kinds()
+
+
+def kinds_of(s: str) -> str:
+    """The classes of the characters of a text."""
+    return s.translate(_KINDS)
+
+
 def _to_bytes(s: str, codec: str) -> bytes | None:
     """What was read, as bytes; the bytes a Windows code page leaves open may have come through as control characters."""
     try:
@@ -91,27 +112,34 @@ def _from_bytes(b: bytes, codec: str) -> str | None:
 
 
 def _natural(s: str) -> bool:
-    return all(kind_of(c) not in "zxyY" for c in s)
+    return _UNNATURAL.isdisjoint(kinds_of(s))
 
 
 def looks_misread(token: str) -> bool:
     """Whether a token may not be counted as written: it is a strict multi-byte text under some code page, or has lost characters."""
-    if LOST in token or any(0x7F < ord(c) < 0xA0 for c in token):
+    if LOST in token or any("\x7f" < c < "\xa0" for c in token):
         return True
-    for r in READ:
-        b = _to_bytes(token, r)
-        if b is None:
-            continue
+    for b, read in _as_bytes(token).items():
         for w in WIDE:
-            t = _from_bytes(b, w) if w != r else None
+            t = _from_bytes(b, w) if read != [w] else None
             if t is None or t == token or not _natural(t):
                 continue
             # of Japanese, kana are the sign: letters of other scripts come out as ideographs too
-            if w == "utf-8" or sum(kind_of(c) in "hk" for c in t) * 3 > len(t):
+            if w == "utf-8" or sum(k in "hk" for k in kinds_of(t)) * 3 > len(t):
                 return True
     return False
 
 
+def _as_bytes(token: str) -> dict[bytes, list[str]]:
+    """The bytes that a token may have been read from, and the codecs of ``READ`` that read them so."""
+    out: dict[bytes, list[str]] = {}
+    for r in READ:
+        b = _to_bytes(token, r)
+        if b is not None:
+            out.setdefault(b, []).append(r)
+    return out
+
+
 @lru_cache(maxsize=100)
 def _script(kind: str) -> frozenset[str]:
     """The script of a class of letters, of those that are not written together."""
@@ -121,7 +149,7 @@ def _script(kind: str) -> frozenset[str]:
 
 def _mixed(word: str) -> bool:
     """Whether a word has letters of more than one of the scripts that are not written together."""
-    return len({k if k in "cgo" else "l" for k in (kind_of(c).lower() for c in word) if k in "alcgo"}) > 1
+    return not word.isascii() and len({_SCRIPTS.get(k) for k in set(kinds_of(word))} - {None}) > 1
 
 
 def pieces_of(token: str) -> Counter:
@@ -146,8 +174,8 @@ def without_echoes(words: dict[str, int], times: int = 20, count: Callable[[str]
     count = count or words.get
 
     def echo(word: str, n: int) -> bool:
-        for channel, t in Model._undo(word):
-            if channel[1] in NARROW:
+        for channels, t in Model._undo(word):
+            if channels[0][1] in NARROW:
                 found = [m[0].lower() for m in _WORD.finditer(t)]
                 if found and all((count(w) or 0) >= times * n for w in found):
                     return True
@@ -202,14 +230,15 @@ class Model:
         self.matching = lru_cache(maxsize=20_000)(self._matching)
         self.cached_cost = lru_cache(maxsize=200_000)(self._cost)
         self.readings = lru_cache(maxsize=100_000)(self._readings)
+        self.char = lru_cache(maxsize=70_000)(self._char)
 
-    def char(self, c: str) -> float:
+    def _char(self, c: str) -> float:
         k = kind_of(c)
         if k == "z":
             return 14.0
         if k == "x":  # frames and technical signs: in running text, the marks of old code pages
             return 9.0
-        return -math.log((self.chars.get(c, 0) + 0.05) / (self.by_kind.get(k, 0) + 8.0))
+        return -math.log((self.chars.get(c, 0) + UNSEEN) / (self.by_kind.get(k, 0) + 8.0))
 
     def _cost(self, s: str) -> float:
         """Characters by class transition and frequency inside the class; a known word costs its own frequency if less."""
@@ -218,8 +247,7 @@ class Model:
 
         def spell(part: str, last: str) -> tuple[float, str]:
             cost = 0.0
-            for c in part:
-                k = kind_of(c)
+            for c, k in zip(part, kinds_of(part)):
                 cost += self.step.get(last + k, worst) + self.char(c)
                 last = k
             return cost, last
@@ -238,38 +266,52 @@ class Model:
         cost, last = spell(s[at:], last)
         return total + cost + self.step.get(last + "$", worst)
 
+    def _as_blanks(self, token: str) -> float:
+        """The cost of a token whose no-break spaces are blanks between words, as written ones mostly are."""
+        parts = token.split("\xa0")
+        if len(parts) == 1:
+            return math.inf
+        blank = -math.log((self.chars.get("\xa0", 0) + 0.5) / (self.n_words + 1.0))
+        # a part of ASCII only is a token of its own, which is never weighed: only its signs, as they are in any reading
+        return sum(sum(map(self.char, p)) if p.isascii() else self.cached_cost(p) for p in parts) + blank * (len(parts) - 1)
+
     def _readings(self, token: str) -> dict[tuple, tuple[float, str]]:
         """Of each channel (read, written[, read, written]) that the token can have come through: (cost of what it was less cost as it is, what it was)."""
-        own = self.cached_cost(token)
+        own = min(self.cached_cost(token), self._as_blanks(token))
         natural = _natural(token) and not any(_mixed(m[0]) for m in _WORD.finditer(token))
         out: dict[tuple, tuple[float, str]] = {}
         if LOST in token:
             for channel, t in self._lattices(token).items():
                 out[channel] = (self.cached_cost(t) - own, t)
             return out
-        first = list(self._undo(token))
-        for channel, t in first:
-            if not any(kind_of(c) in "zx" for c in t) and (channel[1] in ("utf-8", *NARROW) or any(kind_of(c) in "hk" for c in t)):
+        for channels, t in self._undo(token):
+            kinds = kinds_of(t)
+            wide = channels[0][1] not in NARROW
+            if "z" not in kinds and "x" not in kinds and (channels[0][1] == "utf-8" or not wide or "h" in kinds or "k" in kinds):
                 cost = self.cached_cost(t) - own
-                if channel[1] in NARROW and natural and not all(self.count(m[0].lower()) for m in _WORD.finditer(t)):
+                if not wide and natural and cost < 0 and not all(self.count(m[0].lower()) for m in _WORD.finditer(t)):
                     cost += DOUBT * (1 + sum(kind_of(c) == "p" for c in token))
-                out[channel] = (cost, t)
-            if channel[1] == "utf-8" and _NON_ASCII.search(t):
+                if cost < 0:
+                    out.update((channel, (cost, t)) for channel in channels)
+            if channels[0][1] == "utf-8" and not t.isascii():
                 for again, u in self._undo(t):
-                    if again[1] == "utf-8" and u != token and not any(kind_of(c) in "zx" for c in u):
-                        out[channel + again] = (self.cached_cost(u) - own, u)
-        return {k: v for k, v in out.items() if v[0] < 0}
+                    if again[0][1] == "utf-8" and u != token:
+                        kinds = kinds_of(u)
+                        cost = self.cached_cost(u) - own if "z" not in kinds and "x" not in kinds else 0.0
+                        if cost < 0:
+                            out.update((channel + a, (cost, u)) for channel in channels for a in again)
+        return out
 
     @staticmethod
-    def _undo(token: str) -> Iterator[tuple[tuple[str, str], str]]:
-        for r in READ:
-            b = _to_bytes(token, r)
-            if b is None:
-                continue
-            for w in (*WIDE, *(() if r in MULTIBYTE_READ else NARROW)):
-                t = _from_bytes(b, w) if w != r else None
-                if t and t != token and not any(ord(c) < 32 for c in t):
-                    yield (r, w), t
+    def _undo(token: str) -> Iterator[tuple[list[tuple[str, str]], str]]:
+        """(channels, text) of what a token may have been: codecs that read the same bytes are tried once."""
+        for b, read in _as_bytes(token).items():
+            narrow = [r for r in read if r not in MULTIBYTE_READ]
+            for w in (*WIDE, *(NARROW if narrow else ())):
+                by = narrow if w in NARROW else read
+                t = _from_bytes(b, w) if by != [w] else None
+                if t and t != token and min(t) >= " ":
+                    yield [(r, w) for r in by if r != w], t
 
     def _lattices(self, token: str) -> dict[tuple, str]:
         """Best text of a token with lost characters, by channel: known bytes and wildcards, searched under the corpus."""
@@ -416,7 +458,7 @@ class Model:
                 c = chr(b)
                 moves.append((1, {c.lower(): [c]} if _LETTER.match(c) or c in _JOINTS else {}, [c]))
             else:
-                for n in (2, 3):
+                for n in (2, 3, 4):
                     spans = [(n, lattice[i : i + n])]
                     if wide and -1 in lattice[i : i + n - 1]:  # the wildcard takes two of the bytes
                         have = lattice[i : i + n - 1]
@@ -515,7 +557,9 @@ def corpus_model(texts: DataFrame, text: str, vocabulary_share: float = 1e-5) ->
                         all_[k] += v * int(n)
             yield pd.DataFrame({"key": list(all_.keys()), "n": list(all_.values())}, columns=["key", "n"])
 
-    counts = tokens.mapInPandas(count, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    # a stated number of partitions is kept by adaptive execution: the tokens are few bytes, but much work. Written once, read for sums and words
+    spread = max(tokens.sparkSession.sparkContext.defaultParallelism, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = cut_lineage(tokens.repartition(spread, "token").mapInPandas(count, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
     kind = F.substring("key", 1, 1)
     sums = counts.where(kind == "w").agg(F.sum("n").alias("_total"))
     kept = counts.crossJoin(F.broadcast(sums)).where((kind != "w") | (F.col("n") >= F.col("_total") * vocabulary_share)).select("key", "n", "_total")

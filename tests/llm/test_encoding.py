@@ -53,6 +53,24 @@ def test_lost_bytes(model):
     assert (misread, lost) == (1, 1) and text == "Hey Za\ufffdosvo, wait"
 
 
+def test_a_no_break_space_between_words_is_a_blank(spark):
+    texts = CLEAN * 20 + ["It says Æ\u00a0& Ø on the crate."] * 4 + ["Can\u00a0you see\u00a0Zoë?", "Il est là, voilà."] * 10
+    m = corpus_model(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    assert m.restore("It says Æ\u00a0& Ø on the crate.")[1] == 0
+    assert m.restore("Il est l\u00c3\u00a0, voil\u00c3\u00a0.")[0] == "Il est là, voilà."
+
+
+def test_a_lost_byte_of_four(spark):
+    counts: dict = {"w": {}, "c": {}, "t": {}}
+    for t in ("so\U0001f600", "so\U0001f3ac", "é"):
+        for k, v in pieces_of(t).items():
+            counts[k[0]][k[1:]] = counts[k[0]].get(k[1:], 0) + v
+    m = Model(counts["w"], counts["c"], counts["t"])
+    lattice = list("so\U0001f600".encode())
+    lattice[-2] = -1
+    assert m._viterbi(lattice, False) == "so\U0001f600"
+
+
 def test_nulls_blanks_long_texts_and_clashing_columns(spark):
     rows = [(1, None, "r"), (2, "", "r"), (3, " \n", "r"), (4, "plain", "r"), (5, ("Você não " * 20_000).encode().decode("latin-1"), "r")] + [(6, t, "r") for t in CLEAN]
     got = {r.id: r for r in restored(spark.createDataFrame(rows, "id int, t string, restored string"), "t").collect()}
