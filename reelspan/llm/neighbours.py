@@ -27,9 +27,9 @@ class IndexParams:
     max_lists: int = 8192
     sample: int = 16_384
     fit_rows: int = 16
-    margin: float = 0.10
-    max_copies: int = 8
-    list_most: int = 20_000
+    margin: float = 0.08
+    max_copies: int = 6
+    list_most: int = 12_000
     part_rows: int = 2_400
     part_sample: int = 20_000
     max_parts: int = 65_536
