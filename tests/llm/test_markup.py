@@ -49,6 +49,49 @@ def test_navigation_around_the_content_is_left_out():
     assert content_lines([["a", 9, False]] * 3) == [True] * 3
 
 
+def test_lists_of_links_fall_out_of_pages_and_other_lists_stay():
+    nav = "<ul>" + "".join(f"<li><a href='/{i}'>Menu {i}</a></li>\n" for i in range(30)) + "</ul>\n"
+    body = "<p>" + "This is a long paragraph of the article itself, with many words in it. " * 4 + "</p>\n"
+    page = nav + "<h1>Title</h1>\n" + body * 6 + "<ul><li>one thing</li>\n<li>see <a href='x'>this</a> too</li></ul>" + body * 2 + nav
+    text, _ = clean_markup(page)
+    assert text.count("Menu") <= 6 and "# Title" in text and text.count("long paragraph") == 32 and "- one thing" in text and "- see this too" in text
+
+
+@pytest.mark.parametrize("n", [1, 400, 3000, 30_000])
+def test_spans_of_any_length(n):
+    x = "ab c" * n
+    for text, want in (
+        (f"**{x}**", x), (f"'''{x}'''", x), (f"''{x}''", x), (f"_{x}_", x), (f"`{x}`", x), (f"[{x}](y.html)", x), (f"[[A|{x}]]", x), (f"== {x} ==", f"## {x}"), (f"# {x}", f"# {x}"), (f"~~{x}~~", x),
+        (f"\\textbf{{{x}}}", x), (f"$a_{{{x}}}$", f"$a_{{{x}}}$"), (f"\\[{x}\\]", f"$${x}$$"), (f"{{{{quote|{x}}}}}", x), (f"[http://a.b {x}]", x), (f"<b>{x}</b>", x), (f"\\section{{{x}}}", f"# {x}"),
+    ):
+        got, kinds = clean_markup(text)
+        assert got == want and len(kinds) == 1, text[:20]
+
+
+def test_nested_as_deep_as_they_are():
+    assert clean_markup("{{a|" * 6 + "x" + "}}" * 6) == ("x", ["wiki"])
+    assert clean_markup("\\textbf{\\emph{" * 5 + "x" + "}}" * 5) == ("x", ["latex"])
+    assert clean_markup("{{a|" * 2 + "x" + "}}")[0] == "{{a|x"
+
+
+def test_signs_that_stand_for_marks_are_kept():
+    assert clean_markup("a <b>b</b> \U000f0000") == ("a b \U000f0000", ["html"])
+
+
+def test_every_text_with_markup_goes_through_the_curve(monkeypatch):
+    from reelspan.llm import markup
+
+    seen = []
+    real = markup.content_lines
+    monkeypatch.setattr(markup, "content_lines", lambda lines, *a: (seen.append(sum(x[1] for x in lines)), real(lines, *a))[1])
+    for text, _, _ in CASES:
+        clean_markup(text)
+    assert len(seen) == len(CASES) and all(seen)
+    for text in PLAIN:
+        clean_markup(text)
+    assert len(seen) == len(CASES)
+
+
 def test_operator_keeps_rows_and_other_columns(spark):
     df = spark.createDataFrame([(1, "<b>x</b>", "old", 5), (2, None, "old", 6), (3, "y", None, None)], "id int, t string, clean string, _m int")
     rows = {r.id: r for r in without_markup(df, "t").collect()}
