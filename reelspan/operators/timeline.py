@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspan.operators.prefix import MOST, attach, by_size, join_by, running_total
+
 
 def search_window(df: DataFrame, start: str, end: str, duration: str, expand: float = 15.0) -> DataFrame:
     """Adds ``lo`` and ``hi``: the span with ``expand`` seconds on both sides, inside the video."""
@@ -29,34 +31,43 @@ def keyframe_times(start: Column, end: Column, fractions: tuple[float, ...] = (0
     return F.transform(F.array(*[F.lit(float(f)) for f in fractions]), lambda f: start + f * (end - start))
 
 
-def smooth(df: DataFrame, by: list[str], order: str, value: str, window: int = 5, out: str = "smoothed") -> DataFrame:
+def smooth(df: DataFrame, by: list[str], order: str, value: str, window: int = 5, out: str = "smoothed", most: int = MOST) -> DataFrame:
     """Adds the moving sum over ``window`` rows by ``window``, zeros beyond the ends; a shorter series stays.
 
-    ``by`` is one curve, bounded by the window it was cut from.
+    A curve of more than ``most`` rows is not held by one task: its rows are numbered by ranges, and each is added to its neighbours' sums.
     """
+    small, large = by_size(df, by, most)
+    before, after = window // 2, (window - 1) // 2
     w = Window.partitionBy(*by).orderBy(order)
-    moved = F.sum(value).over(w.rowsBetween(-(window // 2), (window - 1) // 2)) / window
-    return df.withColumn(out, F.when(F.count(F.lit(1)).over(Window.partitionBy(*by)) >= window, moved).otherwise(F.col(value)))
+    moved = F.sum(value).over(w.rowsBetween(-before, after)) / window
+    got = small.withColumn(out, F.when(F.count(F.lit(1)).over(Window.partitionBy(*by)) >= window, moved).otherwise(F.col(value)))
+    if large is None:
+        return got
+    rows = running_total(large.withColumn("_one", F.lit(1)), by, order, "_one", most=most).withColumnRenamed("total_before", "_at")
+    parts = rows.select(*by, F.explode(F.sequence(F.col("_at") - after, F.col("_at") + before)).alias("_at"), F.col(value).alias("_v"))
+    sums = parts.groupBy(*by, "_at").agg((F.sum("_v") / window).alias("_moved"))
+    rows = join_by(rows, sums, [*by, "_at"])
+    return got.unionByName(rows.withColumn(out, F.when(F.col("group_total") >= window, F.col("_moved")).otherwise(F.col(value))).drop("_one", "_at", "group_total", "_moved"))
 
 
 def expand_peaks(df: DataFrame, by: list[str], order: str, score: str, start: str, end: str, least: float = 0.25, share: float = 0.5) -> DataFrame:
     """One row for each curve: ``peak``, ``peak_at`` (the first, if several), ``left_at``, ``right_at`` and their times ``s, e``.
 
-    The peak grows on both sides while the neighbour is at least ``max(least, share * peak)``.
+    The peak grows on both sides while the neighbour is at least ``max(least, share * peak)``. Everything is an aggregate, so that a
+    curve of any length is added up where its rows are.
     """
-    top = df.groupBy(*by).agg(F.max_by(F.struct(F.col(order).alias("at"), F.col(score).alias("v")), F.struct(score, -F.col(order))).alias("p"))
-    # a curve's rows and its peak meet by the key of the curve
-    rows = df.join(top, by).withColumn("_thr", F.greatest(F.lit(least), share * F.col("p.v")))
-    under = F.col(score) < F.col("_thr")
     at = F.col(order)
+    top = df.groupBy(*by).agg(F.max_by(F.struct(at.alias("at"), F.col(score).alias("v")), F.struct(score, -at)).alias("_p"))
+    rows = attach(df, top, by)
+    under = F.col(score) < F.greatest(F.lit(least), share * F.col("_p.v"))
     edges = rows.groupBy(*by).agg(
-        F.any_value("p").alias("p"), F.min(at).alias("_first"), F.max(at).alias("_last"),
-        F.max(F.when(under & (at < F.col("p.at")), at)).alias("_l"), F.min(F.when(under & (at > F.col("p.at")), at)).alias("_r"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(at.alias("k"), F.struct(F.col(start).alias("s"), F.col(end).alias("e")).alias("v"))))).alias("_at"),
+        F.any_value("_p").alias("_p"),
+        F.coalesce(F.max(F.when(under & (at < F.col("_p.at")), at)) + 1, F.min(at)).alias("left_at"),
+        F.coalesce(F.min(F.when(under & (at > F.col("_p.at")), at)) - 1, F.max(at)).alias("right_at"),
     )
-    out = edges.withColumn("peak", F.col("p.v")).withColumn("peak_at", F.col("p.at"))
-    out = out.withColumn("left_at", F.coalesce(F.col("_l") + 1, F.col("_first"))).withColumn("right_at", F.coalesce(F.col("_r") - 1, F.col("_last")))
-    return out.withColumn("s", F.col("_at")[F.col("left_at")]["s"]).withColumn("e", F.col("_at")[F.col("right_at")]["e"]).drop("p", "_first", "_last", "_l", "_r", "_at")
+    edges = edges.select(*by, F.col("_p.v").alias("peak"), F.col("_p.at").alias("peak_at"), "left_at", "right_at")
+    rows = attach(df.select(*by, at.alias("_o"), F.col(start).alias("_s"), F.col(end).alias("_e")), edges, by)
+    return rows.groupBy(*by, "peak", "peak_at", "left_at", "right_at").agg(F.max(F.when(F.col("_o") == F.col("left_at"), F.col("_s"))).alias("s"), F.max(F.when(F.col("_o") == F.col("right_at"), F.col("_e"))).alias("e"))
 
 
 def pad(df: DataFrame, seconds: float = 3.0) -> DataFrame:
@@ -90,18 +101,29 @@ def inside(df: DataFrame) -> DataFrame:
     return df.withColumn("e", F.least(F.greatest(F.col("s"), F.col("e")), F.col("hi")))
 
 
-def scene_bounds(frames: DataFrame, video: str, order: str, time: str, score: str, threshold: float = 27.0) -> DataFrame:
+def scene_bounds(frames: DataFrame, video: str, order: str, time: str, score: str, threshold: float = 27.0, most: int = MOST) -> DataFrame:
     """Scenes of a table of frame scores: a frame over the ``threshold`` begins a scene; ``video, scene_id, s, e``.
 
-    ``e`` is the begin of the next scene, of the last one its last frame's time. Scenes are numbered from 0.
+    ``e`` is the begin of the next scene, of the last one its last frame's time. Scenes are numbered from 0. Cuts are counted by
+    ``running_total``, so a video of any length is not held by one task.
     """
-    w = Window.partitionBy(video).orderBy(order)
-    cut = F.sum(F.when((F.col(score) > threshold) & (F.row_number().over(w) > 1), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    scenes = frames.withColumn("_cut", cut.cast("int")).groupBy(video, "_cut").agg(F.min(time).alias("s"), F.max(time).alias("_last"))
-    after = F.lead("s").over(Window.partitionBy(video).orderBy("_cut"))
-    return scenes.select(video, F.col("_cut").alias("scene_id"), "s", F.coalesce(after, F.col("_last")).alias("e"))
-
-
-def number_scenes(df: DataFrame, video: str, *order: str) -> DataFrame:
-    """Adds ``number``: the scene's place in its video, from 0."""
-    return df.withColumn("number", F.row_number().over(Window.partitionBy(video).orderBy(*order)) - 1)
+    rows = frames.withColumn("_over", (F.coalesce(F.col(score), F.lit(0.0)) > threshold).cast("int"))
+    rows = attach(rows, rows.groupBy(video).agg(F.min(order).alias("_first")), [video])
+    rows = rows.withColumn("_over", F.when(F.col(order) == F.col("_first"), 0).otherwise(F.col("_over")))
+    cut = running_total(rows, [video], order, "_over", most=most).withColumn("_cut", (F.col("total_before") + F.col("_over")).cast("int"))
+    scenes = cut.groupBy(video, "_cut").agg(F.min(time).alias("s"), F.max(time).alias("_last"))
+    after = scenes.select(video, (F.col("_cut") - 1).alias("_cut"), F.col("s").alias("_next"))
+    return join_by(scenes, after, [video, "_cut"], "left").select(video, F.col("_cut").alias("scene_id"), "s", F.coalesce("_next", "_last").alias("e"))
+
+
+def number_scenes(df: DataFrame, video: str, *order: str, most: int = MOST) -> DataFrame:
+    """Adds ``number``: the scene's place in its video by ``order``, from 0."""
+    rows = running_total(df.withColumn("_one", F.lit(1)), [video], order[0], "_one", list(order[1:]), most=most)
+    return rows.withColumn("number", F.col("total_before").cast("int")).drop("_one", "total_before", "group_total")
+
+
+def pauses(df: DataFrame, video: str, order: str, start: str, end: str, most: int = MOST) -> DataFrame:
+    """Adds ``pause``: from the end of the row before, by ``order``, to a row's start; 0 for the first."""
+    rows = number_scenes(df, video, order, most=most)
+    last = rows.select(video, (F.col("number") + 1).alias("number"), F.col(end).alias("_end"))
+    return join_by(rows, last, [video, "number"], "left").withColumn("pause", F.coalesce(F.col(start) - F.col("_end"), F.lit(0.0))).drop("number", "_end")
