@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def matrix(col: pa.Array, width: int | None = None) -> np.ndarray:
@@ -38,19 +36,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _normalized(vecs: pd.Series) -> pd.Series:
-    out = []
-    for v in vecs:
-        x = None if v is None else np.asarray(v, np.float64)
-        n = 0.0 if x is None else float(np.sqrt(x @ x))
-        out.append(None if x is None or np.isnan(n) else x if n == 0 else x / n)
-    return pd.Series(out, dtype=object)
-
-
 def l2_normalize(c: Column) -> Column:
     """A vector of length 1; a zero vector and null stay as they are, NaN components make the vector null."""
-    return _normalized(c)
+    length = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    # as the element of an array, the length is computed once a vector and not once a component
+    scaled = lambda n: F.when(n == 0, c.cast("array<double>")).when(~F.isnan(n), F.transform(c, lambda x: x.cast("double") / n))
+    return F.get(F.transform(F.array(length), scaled), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -71,6 +62,48 @@ def score_batches(batches: Iterator[pa.RecordBatch], queries: dict[str, np.ndarr
         yield b, out
 
 
+def top_of_block(scenes: DataFrame, key: str, vec: str, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """``query, key, score``: of a block of ``queries`` (vectors of length 1, with ``ids``), the ``k`` most similar rows of each task; scores have six digits, ties go to the higher ``key``.
+
+    One pass over ``key`` and ``vec``, nothing else is read, and of each task ``k`` rows a query leave. An unusable vector scores 0.
+    """
+    box = scenes.sparkSession.sparkContext.broadcast((ids, queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = box.value
+        best, keys = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).min)
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                sims = np.round(np.maximum(0.0, unit(matrix(part.column(1), q.shape[1])).astype(np.float64) @ q.T.astype(np.float64)), 6).T
+                both, who = np.concatenate([best, sims], 1), np.concatenate([keys, np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False), sims.shape)], 1)
+                order = np.lexsort((-who, -both))[:, :k]
+                best, keys = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
+        row, slot = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(keys[row, slot]), pa.array(best[row, slot])], ["query", "key", "score"])
+
+    return scenes.select(F.col(key).cast("bigint").alias("key"), vec).mapInArrow(run, "query bigint, key bigint, score double")
+
+
+def pair_scores(pairs: DataFrame, vec: str, ids: np.ndarray, queries: list, out: str) -> DataFrame:
+    """``query_id, video, t`` of the ``pairs`` of the queries ``ids`` and ``out``, the cosine of ``vec`` and the query's vector; unusable ones are 0."""
+    order = np.argsort(ids)
+    q = unit(matrix(pa.array([queries[i] for i in order], pa.list_(pa.float32()))))
+    box = pairs.sparkSession.sparkContext.broadcast((ids[order], q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = box.value
+        for b in batches:
+            who = b.column(0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(ids, who), len(ids) - 1)
+            some = np.nonzero(ids[at] == who)[0]
+            x = unit(matrix(b.column(3), q.shape[1]))[some].astype(np.float64)
+            kept = b.take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array(np.einsum("ij,ij->i", x, q[at[some]].astype(np.float64)))], ["query_id", "video", "t", out])
+
+    return pairs.select("query_id", "video", "t", vec).mapInArrow(run, f"query_id int, video string, t double, {out} double")
+
+
 def pool_mean(df: DataFrame, by: str, vec: str) -> DataFrame:
     """``by, vec`` (length 1), ``n``: the mean of each group's usable vectors, normalised; no usable vector: no row.
 
@@ -81,15 +114,19 @@ def pool_mean(df: DataFrame, by: str, vec: str) -> DataFrame:
         sums: dict = {}
         for b in batches:
             x = matrix(b.column(1)).astype(np.float64)
-            keys = b.column(0).to_pylist()
-            for key in dict.fromkeys(keys):
-                rows = x[[k == key for k in keys]]
-                rows = rows[rows.any(1)]
-                if len(rows):
-                    s, n = sums.get(key, (0, 0))
-                    if n and len(s) != rows.shape[1]:
-                        raise ValueError("vectors of different width in one group")
-                    sums[key] = (s + rows.sum(0), n + len(rows))
+            some = np.nonzero(x.any(1))[0]
+            if not len(some):
+                continue
+            coded = b.column(0).dictionary_encode()  # null is a key of its own
+            codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)[some]
+            order = np.argsort(codes, kind="stable")
+            at, first, n = np.unique(codes[order], return_index=True, return_counts=True)
+            names = [*coded.dictionary.to_pylist(), None]
+            for code, s, m in zip(at.tolist(), np.add.reduceat(x[some][order], first, axis=0), n.tolist()):
+                had, k = sums.get(names[code], (0, 0))
+                if k and len(had) != len(s):
+                    raise ValueError("vectors of different width in one group")
+                sums[names[code]] = (had + s, k + m)
         yield pa.RecordBatch.from_pydict({"k": pa.array(list(sums), pa.string()), "s": pa.array([v[0].tolist() for v in sums.values()], pa.list_(pa.float64())), "n": pa.array([v[1] for v in sums.values()], pa.int64())})
 
     parts = df.select(F.col(by).cast("string").alias("k"), vec).mapInArrow(partial, "k string, s array<double>, n bigint")
