@@ -173,14 +173,16 @@ def oracle_sql() -> dict[str, str]:
     chars = _list(CHARACTERS)
     plain = lambda c: f"regexp_replace(lower({c}), '[_. -]', '', 'g')"
     return {
-        "vector_topk": f"WITH {FIRST} SELECT ord, video, scene_id, round(text_score, 6) AS score FROM scored ORDER BY text_score DESC, ord DESC LIMIT 10",
+        "vector_topk": f"""WITH {FIRST}, pairs AS (SELECT q.ord AS query_ord, u.ord, round(greatest(0.0, coalesce(list_inner_product(u.t, q.t), 0)), 6) AS score
+            FROM units q JOIN vecs v ON v.ord = q.ord, units u WHERE q.ord % 50 = 0 AND v.text_vec IS NOT NULL)
+            SELECT * FROM (SELECT query_ord, row_number() OVER (PARTITION BY query_ord ORDER BY score DESC, ord DESC) AS place, ord, score FROM pairs) WHERE place <= 10""",
         "vector_clamped_scores": f"WITH {FIRST} SELECT ord, round(text_score, 6) AS text_score, round(image_score, 6) AS image_score, round(audio_score, 6) AS audio_score FROM scored",
         "l2_normalize": f"""WITH {VEC}, v AS MATERIALIZED (SELECT ord, CASE WHEN list_inner_product(image_vec::DOUBLE[], image_vec::DOUBLE[]) = 0 THEN image_vec::DOUBLE[] ELSE {unit('image_vec')} END AS v FROM vecs)
-            SELECT ord, round(v[1], 6) AS v0, round(v[2], 6) AS v1, round(v[3], 6) AS v2, round(list_inner_product(v, v), 6) AS squared FROM v""",
+            SELECT ord, round(list_sum(list_transform(v, lambda x, i: x * i)), 5) AS by_place, round(list_inner_product(v, v), 6) AS squared FROM v""",
         "mean_pool_vectors": f"""WITH {VEC}, ok AS (SELECT video, audio_vec::DOUBLE[] AS v FROM vecs WHERE audio_vec IS NOT NULL AND NOT isnan(list_sum(audio_vec::DOUBLE[])) AND list_inner_product(audio_vec, audio_vec) > 0),
             x AS (SELECT video, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM ok), m AS (SELECT video, p, avg(x) AS x, count(*) AS n FROM x GROUP BY 1, 2),
             s AS (SELECT video, sqrt(sum(x * x)) AS len, max(n) AS n FROM m GROUP BY 1 HAVING sqrt(sum(x * x)) > 1e-8)
-            SELECT video, s.n, {', '.join(f'round(max(x) FILTER (p = {k + 1}) / any_value(len), 6) AS v{k}' for k in range(4))} FROM m JOIN s USING (video) GROUP BY 1, 2""",
+            SELECT video, s.n, round(sum(x / len * p), 5) AS by_place FROM m JOIN s USING (video) GROUP BY 1, 2""",
         "label_topk": f"""WITH {UNITS}, l AS MATERIALIZED (SELECT label, label_ord, {unit('vec')} AS v FROM label_vectors),
             r AS (SELECT ord, label, row_number() OVER (PARTITION BY ord ORDER BY round(list_inner_product(a, v), 9) DESC, label_ord) AS k FROM units, l WHERE a IS NOT NULL),
             t AS (SELECT ord, string_agg(label, ' ' ORDER BY k) AS s, count(*) AS n FROM r WHERE k <= 5 GROUP BY 1)
@@ -235,7 +237,7 @@ def oracle_sql() -> dict[str, str]:
         "eval_rollup": f"WITH {EVAL} {_shares('query_type', 'GROUP BY query_type')} UNION ALL {_shares(chr(39) + 'ALL' + chr(39))}",
         "segment_stats": f"WITH {SCENES}, n AS (SELECT coalesce(len(frames), 0) AS n, {strip('subtitle')} AS t FROM scenes) SELECT count(*) AS n_scenes, min(n) AS min_frames, round(avg(n), 6) AS mean_frames, max(n) AS max_frames, sum(n)::BIGINT AS sum_frames, count(*) FILTER (t <> '') AS with_subtitle FROM n",
         "list_columns": f"WITH {SCENES} SELECT video, scene_id, coalesce(len(frames), 0) AS n_frames, coalesce(array_to_string(audio_events, ' '), '') AS event_text FROM scenes",
-        "fuzzy_name_match": f"""WITH v AS (SELECT DISTINCT regexp_replace(video, '\\.[^.]+$', '') AS name FROM segments), f AS (SELECT DISTINCT regexp_replace(name, ' S\\d+E\\d+$', '') AS file FROM v UNION SELECT name FROM v WHERE name LIKE '%1'),
+        "fuzzy_name_match": f"""WITH v AS (SELECT DISTINCT regexp_replace(video, '\\.[^.]+$', '') AS name FROM segments), f AS (SELECT DISTINCT regexp_replace(name, ' S\\d+E\\d+$', '') AS file FROM v UNION SELECT name FROM v),
             m AS (SELECT name, CASE WHEN name = file THEN 0 ELSE 1 END AS rank, 'subs/' || file || '.srt' AS path FROM v, f WHERE contains({plain('name')}, {plain('file')}) OR contains({plain('file')}, {plain('name')})),
             b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rank, path) AS k FROM m) SELECT name, path FROM v LEFT JOIN (SELECT * FROM b WHERE k = 1) USING (name)""",
         "hybrid_search": f"WITH {_HYBRID} SELECT query_id, rank_pos, video, scene_id, round(fused, 6) AS hybrid_score, round(t, 6) AS text_score, round(i, 6) AS image_score, round(a, 6) AS audio_score, label AS query_type FROM k",

@@ -16,7 +16,7 @@ from reelspan.session import cut_lineage
 from reelspan.settings import Settings
 
 MODES = ("text", "image", "audio")
-CANDIDATES = "query_id int, ord bigint, video string, scene_id int, hybrid_score double, text_score double, image_score double, audio_score double"
+CANDIDATES = "query_id bigint, ord bigint, video string, scene_id int, hybrid_score double, text_score double, image_score double, audio_score double"
 
 
 def _vectors(rows: list, field: str) -> np.ndarray:
@@ -37,19 +37,16 @@ def hybrid_search(queries: DataFrame, scenes: DataFrame, settings: Settings = Se
     The stated queries are scored in blocks of ``block``: a block is a matrix that is broadcast; the scenes are read twice, for
     the ranges and for the fused scores, and are not shuffled. Of each task only ranges and the ``top_k`` of each query leave.
     """
-    spark = queries.sparkSession
-    queries = cut_lineage(queries.select("query_id", "query_text", *[f"{m}_vec" for m in MODES]))  # read for the blocks and for the classes
+    spark, kind = queries.sparkSession, queries.schema["query_id"].dataType
+    queries = cut_lineage(queries.select("query_id", "query_text", *[f"{m}_vec" for m in MODES]).dropDuplicates(["query_id"]))  # read for the blocks and for the classes
     k = settings.retrieval.top_k if top_k is None else top_k
     names, boost = list(settings.characters), settings.retrieval.character_boost
     q = queries.select("query_id", classify_query(F.col("query_text")).alias("label"), characters_in(F.col("query_text"), names).alias("names"), *[f"{m}_vec" for m in MODES])
-    ids = [r[0] for r in queries.select("query_id").distinct().orderBy("query_id").collect()] if k > 0 else []
     parts = []
     # scenes of the same ord are one, repeated
     cols = scenes.select("ord", "video", "scene_id", characters_in(F.col("subtitle"), names).alias("names"), *[f"{m}_vec" for m in MODES])
-    for at in range(0, len(ids), block):
-        rows = q.where(F.col("query_id").between(ids[at], ids[min(at + block, len(ids)) - 1])).dropDuplicates(["query_id"]).collect()
-        if rows:
-            parts.append(_search_block(spark, cols, sorted(rows, key=lambda r: r[0]), names, boost, settings, k))
+    for rows in query_blocks(q, "query_id", block) if k > 0 else ():
+        parts.append(_search_block(spark, cols, rows, names, boost, settings, k))
     if not parts:
         found = spark.createDataFrame([], CANDIDATES)
     else:
@@ -59,13 +56,23 @@ def hybrid_search(queries: DataFrame, scenes: DataFrame, settings: Settings = Se
     # a few rows a task and query
     w = Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), F.desc("ord"))
     best = found.dropDuplicates(["query_id", "ord"]).withColumn("rank_pos", F.row_number().over(w)).where(F.col("rank_pos") <= k)
-    kinds = queries.select("query_id", classify_query(F.col("query_text")).alias("query_type"), "query_text").dropDuplicates(["query_id"])
+    best = best.withColumn("query_id", F.col("query_id").cast(kind))
+    kinds = queries.select("query_id", classify_query(F.col("query_text")).alias("query_type"), "query_text")
     return best.join(kinds, "query_id").select("query_id", "rank_pos", "video", "scene_id", "hybrid_score", *[f"{m}_score" for m in MODES], "query_type", "query_text")
 
 
+def query_blocks(queries: DataFrame, key: str, block: int) -> Iterator[list]:
+    """The rows of ``queries``, which are distinct by ``key``, by a hash of it, in blocks of ``block`` on average: what the driver holds at once."""
+    n = max(1, -(-queries.count() // block))
+    for i in range(n):
+        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i).collect() if n > 1 else queries.collect()
+        if rows:
+            yield sorted((r for r in rows if r[key] is not None), key=lambda r: r[key])
+
+
 def _search_block(spark, scenes: DataFrame, rows: list, names: list[str], boost: float, settings: Settings, k: int) -> DataFrame:  # noqa: ANN001
     vecs = {f"{m}_vec": _vectors(rows, f"{m}_vec") for m in MODES}
-    qids = np.array([r["query_id"] for r in rows])
+    qids = np.array([r["query_id"] for r in rows], np.int64)
     named = np.array([[n in (r["names"] or []) for n in names] for r in rows], float).reshape(len(rows), len(names))
     named = named / np.maximum(1, named.sum(1, keepdims=True))
     box = spark.sparkContext.broadcast(vecs)
@@ -132,7 +139,7 @@ def _search_block(spark, scenes: DataFrame, rows: list, names: list[str], boost:
         q, slot = np.nonzero(np.isfinite(best))
         flat = [who[i] for i in at[q, slot]]
         yield pa.RecordBatch.from_pydict({
-            "query_id": pa.array(qids[q], pa.int32()), "ord": pa.array(ords[q, slot], pa.int64()), "video": pa.array([w[0] for w in flat], pa.string()), "scene_id": pa.array([w[1] for w in flat], pa.int32()),
+            "query_id": pa.array(qids[q].astype(np.int64), pa.int64()), "ord": pa.array(ords[q, slot], pa.int64()), "video": pa.array([w[0] for w in flat], pa.string()), "scene_id": pa.array([w[1] for w in flat], pa.int32()),
             "hybrid_score": best[q, slot], "text_score": kept[0][q, slot], "image_score": kept[1][q, slot], "audio_score": kept[2][q, slot],
         })
 

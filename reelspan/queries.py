@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions import scores, text, vectors
@@ -12,12 +13,15 @@ from reelspan.operators import intervals, islands, timeline
 from reelspan.plans import evaluate as ev
 from reelspan.plans import refine as rf
 from reelspan.plans.search import hybrid_search as search
+from reelspan.plans.search import query_blocks
 from reelspan.session import cut_lineage, once, table
 from reelspan.settings import Audio, Settings
 
 #: Names of this project's recordings that a query may ask for.
 CHARACTERS = ("mirelle", "tamsin", "ferris", "odette", "corvin", "yselle", "tobin", "bram")
 SETTINGS = Settings(characters=CHARACTERS, audio=Audio(enabled=True))
+#: Rows of keys that are broadcast at most; beyond that both sides are exchanged.
+FEW = 1_000_000
 
 
 def scenes(spark: SparkSession, d: str) -> DataFrame:
@@ -37,22 +41,27 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scene_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "segment_vectors").dropDuplicates(["ord"])
+    return once(table(spark, d, "segment_vectors"), ["ord"])
 
 
-def query_vectors(spark: SparkSession, d: str) -> DataFrame:
+def query_vectors(spark: SparkSession, d: str, s: DataFrame | None = None, v: DataFrame | None = None) -> DataFrame:
     """Queries with the vectors of the first scene at their annotated start, which stand in for encoded ones."""
-    s = scenes(spark, d).select("video", "scene_id", F.col("scene_start").alias("s"), F.col("scene_end").alias("e"))
+    s = (scenes(spark, d) if s is None else s).select("video", "scene_id", F.col("scene_start").alias("s"), F.col("scene_end").alias("e"))
+    v = (scene_vectors(spark, d) if v is None else v).select("video", "scene_id", "text_vec", "image_vec", "audio_vec")
     g = gold(spark, d).select("query_id", "query_text", "video", "query_type", F.col("gt_start").alias("ls"), F.col("gt_start").alias("le"))
     at = intervals.overlap_join(s, g, 600.0).where("ls >= s AND ls < e").groupBy("query_id").agg(F.min(F.struct("scene_id", "video")).alias("m"))
-    v = scene_vectors(spark, d).select("video", "scene_id", "text_vec", "image_vec", "audio_vec")
-    at = at.select("query_id", "m.video", "m.scene_id").join(v, ["video", "scene_id"], "left").drop("video", "scene_id")
+    at = cut_lineage(at.select("query_id", "m.video", "m.scene_id"))
+    # the scenes of the queries, of which there is a stated set, go to the vectors and not the other way
+    at = (F.broadcast(at) if at.count() <= FEW else at).join(v, ["video", "scene_id"]).drop("video", "scene_id")
     return g.select("query_id", "query_text").join(at, "query_id", "left")
 
 
-def searchable(spark: SparkSession, d: str) -> DataFrame:
-    s = scenes(spark, d).select("video", "scene_id", "subtitle")
-    return scene_vectors(spark, d).join(s, ["video", "scene_id"], "left")
+def searchable(spark: SparkSession, d: str, s: DataFrame | None = None, v: DataFrame | None = None) -> DataFrame:
+    """Scenes with their vectors and the names that a query may ask for. Names are few: they go to the vectors, in place of the texts."""
+    s = scenes(spark, d) if s is None else s
+    v = scene_vectors(spark, d) if v is None else v
+    named = cut_lineage(s.select("video", "scene_id", F.array_join(text.characters_in(F.col("subtitle"), list(CHARACTERS)), " ").alias("subtitle")).where("subtitle <> ''"))
+    return v.join(F.broadcast(named) if named.count() <= FEW else named, ["video", "scene_id"], "left")
 
 
 def _first_query(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +72,6 @@ def _first_query(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """``video, scene_id, ord, text_score, image_score, audio_score`` of all scenes against the first query."""
-    import numpy as np
     import pyarrow as pa
 
     q = _first_query(spark, d).collect()
@@ -78,22 +86,40 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    top = _scored(spark, d).orderBy(F.desc("text_score"), F.desc("ord")).limit(10)
-    return top.select("ord", "video", "scene_id", F.round("text_score", 6).alias("score"))
+    """The ten scenes most similar in text to each scene whose ``ord`` is divisible by 50, itself among them."""
+    import pyarrow as pa
+
+    v = scene_vectors(spark, d).select("ord", "video", "scene_id", "text_vec")
+    parts = []
+    for rows in query_blocks(v.where("ord % 50 = 0 AND text_vec IS NOT NULL").select("ord", "text_vec"), "ord", 2048):
+        q = vectors.unit(vectors.matrix(pa.array([r.text_vec for r in rows], pa.list_(pa.float32()))))
+        parts.append(vectors.top_of_block(v, "ord", "text_vec", np.array([r.ord for r in rows], np.int64), q, 10))
+    found = spark.createDataFrame([], "query bigint, key bigint, score double")
+    for p in parts:
+        found = found.unionByName(p)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("key"))
+    top = found.withColumn("place", F.row_number().over(w)).where("place <= 10")
+    return top.select(F.col("query").cast("int").alias("query_ord"), "place", F.col("key").cast("int").alias("ord"), "score")
 
 
 def vector_clamped_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("ord", *[F.round(c, 6).alias(c) for c in ("text_score", "image_score", "audio_score")])
 
 
+def _all_of(vec: str) -> Column:
+    """A number that all components of a vector have a part in, each by its place."""
+    by_place = F.transform(vec, lambda x, i: x * (i + 1))
+    return F.round(F.aggregate(by_place, F.lit(0.0), lambda a, x: a + x), 5).alias("by_place")
+
+
 def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     v = scene_vectors(spark, d).select("ord", vectors.l2_normalize(F.col("image_vec")).alias("v"))
-    return v.select("ord", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in range(3)], F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared"))
+    return v.select("ord", _all_of("v"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared"))
 
 
 def mean_pool_vectors(spark: SparkSession, d: str) -> DataFrame:
     p = vectors.pool_mean(scene_vectors(spark, d).select("video", "audio_vec"), "video", "audio_vec")
-    return p.select("video", "n", *[F.round(F.get("audio_vec", F.lit(i)), 6).alias(f"v{i}") for i in range(4)])
+    return p.select("video", "n", _all_of("audio_vec"))
 
 
 def label_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -216,8 +242,7 @@ def scene_numbering(spark: SparkSession, d: str) -> DataFrame:
 
 def scene_boundaries(spark: SparkSession, d: str) -> DataFrame:
     """Scenes cut where the pause before a subtitle line is longer than four seconds; the pause stands in for a frame's change."""
-    w = Window.partitionBy("video").orderBy("line_no")
-    f = lines(spark, d).withColumn("pause", F.coalesce(F.col("ls") - F.lag("le").over(w), F.lit(0.0)))
+    f = timeline.pauses(lines(spark, d), "video", "line_no", "ls", "le")
     return timeline.scene_bounds(f, "video", "line_no", "ls", "pause", 4.0)
 
 
@@ -323,55 +348,70 @@ def list_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_name_match(spark: SparkSession, d: str) -> DataFrame:
-    """Each video's subtitle file, of files named after shows and after single videos."""
+    """Each video's subtitle file, of files named after shows and after all videos."""
     v = table(spark, d, "segments").select(F.regexp_replace("video", r"\.[^.]+$", "").alias("name")).distinct()
     shows = v.select(F.regexp_replace("name", r" S\d+E\d+$", "").alias("name")).distinct()
-    files = shows.unionByName(v.where(F.col("name").endswith("1"))).distinct().select("name", F.concat(F.lit("subs/"), "name", F.lit(".srt")).alias("path"))
+    files = shows.unionByName(v).distinct().select("name", F.concat(F.lit("subs/"), "name", F.lit(".srt")).alias("path"))
     return intervals.match_names(v, files)
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    r = search(query_vectors(spark, d), searchable(spark, d), SETTINGS)
+    s, v = scenes(spark, d), scene_vectors(spark, d)
+    r = search(query_vectors(spark, d, s, v), searchable(spark, d, s, v), SETTINGS)
     return r.select("query_id", "rank_pos", "video", "scene_id", F.round("hybrid_score", 6).alias("hybrid_score"), F.round("text_score", 6).alias("text_score"), F.round("image_score", 6).alias("image_score"), F.round("audio_score", 6).alias("audio_score"), "query_type")
 
 
-def _grid(spark: SparkSession, d: str, found: DataFrame, mode: str) -> DataFrame:
-    """``query_id, video, t, sim`` of the scenes around each candidate: a grid with one frame (or sound) in the middle of each scene."""
-    import numpy as np
+def _points(spark: SparkSession, d: str, q: DataFrame, found: DataFrame, s: DataFrame, v: DataFrame, block: int = 2048) -> DataFrame:
+    """``query_id, video, t, image_sim, audio_sim`` of the scenes around each candidate: a grid with one frame and one sound in the middle of each scene.
+
+    Queries are taken in blocks; of a block, the pairs with scenes go to the vectors, and both products are taken in one pass."""
     import pyarrow as pa
 
-    q = {r[0]: r[1] for r in query_vectors(spark, d).select("query_id", f"{mode}_vec").collect() if r[1] is not None}
-    unit = {k: vectors.unit(vectors.matrix(pa.array([v], pa.list_(pa.float32()))))[0] for k, v in q.items()}
-    v = scene_vectors(spark, d).select("video", "scene_id", f"{mode}_vec")
-    at = scenes(spark, d).select("video", "scene_id", ((F.col("scene_start") + F.col("scene_end")) / 2).alias("ls")).withColumn("le", F.col("ls"))
+    at = s.select("video", "scene_id", ((F.col("scene_start") + F.col("scene_end")) / 2).alias("ls")).withColumn("le", F.col("ls"))
     win = found.select("query_id", "video", (F.col("scene_start") - 15.0).alias("s"), (F.col("scene_end") + 15.0).alias("e"))
-    pairs = intervals.overlap_join(win, at.withColumnRenamed("scene_id", "at_scene")).select("query_id", "video", F.col("at_scene").alias("scene_id"), F.col("ls").alias("t")).distinct().join(v, ["video", "scene_id"])
-
-    def sims(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            x = vectors.unit(vectors.matrix(b.column(3)))
-            ids = b.column(0).to_pylist()
-            s = [float(np.dot(row, unit[i])) if i in unit and len(unit[i]) == len(row) else 0.0 for i, row in zip(ids, x.astype(np.float64))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(s, pa.float64())], ["query_id", "video", "t", "sim"])
-
-    return pairs.select("query_id", "video", "t", f"{mode}_vec").mapInArrow(sims, "query_id int, video string, t double, sim double")
-
-
-def _found(spark: SparkSession, d: str) -> DataFrame:
-    r = search(query_vectors(spark, d), searchable(spark, d), SETTINGS)
-    s = scenes(spark, d).select("video", "scene_id", "scene_start", "scene_end", "subtitle")
-    return cut_lineage(r.join(s, ["video", "scene_id"]).join(_durations(spark, d), "video"))
+    pairs = cut_lineage(intervals.overlap_join(win, at).select("query_id", "video", "scene_id", F.col("ls").alias("t")).distinct())
+    few = pairs.count() <= FEW
+    parts = []
+    for rows in query_blocks(q.select("query_id", "image_vec", "audio_vec"), "query_id", block):
+        ids = np.array([r.query_id for r in rows])
+        units = [vectors.unit(vectors.matrix(pa.array([r[c] for r in rows], pa.list_(pa.float32())), next((len(r[c]) for r in rows if r[c] is not None), 1))) for c in ("image_vec", "audio_vec")]
+        box = spark.sparkContext.broadcast((ids, units))
+
+        def sims(batches, box=box):  # noqa: ANN001, ANN202
+            ids, units = box.value
+            for b in batches:
+                at = np.searchsorted(ids, b.column(0).to_numpy(zero_copy_only=False))
+                got = [np.einsum("ij,ij->i", vectors.unit(vectors.matrix(b.column(3 + i), u.shape[1])).astype(np.float64), u[at].astype(np.float64)) for i, u in enumerate(units)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], *map(pa.array, got)], ["query_id", "video", "t", "image_sim", "audio_sim"])
+
+        mine = pairs.where(F.col("query_id").isin(ids.tolist())) if len(rows) < 100 else pairs.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "query_id int")), "query_id")
+        near = v.select("video", "scene_id", "image_vec", "audio_vec").join(F.broadcast(mine) if few else mine, ["video", "scene_id"])
+        parts.append(near.select("query_id", "video", "t", "image_vec", "audio_vec").mapInArrow(sims, "query_id int, video string, t double, image_sim double, audio_sim double"))
+    if not parts:
+        return spark.createDataFrame([], "query_id int, video string, t double, image_sim double, audio_sim double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, subtitle lines, points) of all queries: each table is prepared once."""
+    s, v = scenes(spark, d), scene_vectors(spark, d)
+    q = cut_lineage(query_vectors(spark, d, s, v))
+    r = search(q, searchable(spark, d, s, v), SETTINGS)
+    length = s.groupBy("video").agg(F.max("scene_end").alias("duration"))
+    found = cut_lineage(r.join(s.select("video", "scene_id", "scene_start", "scene_end", "subtitle"), ["video", "scene_id"]).join(length, "video"))
+    return found, lines(spark, d), _points(spark, d, q, found, s, v)
 
 
 def refined_spans(spark: SparkSession, d: str) -> DataFrame:
-    f = _found(spark, d)
-    r = rf.refine(f, lines(spark, d), _grid(spark, d, f, "image"), _grid(spark, d, f, "audio"), SETTINGS)
+    r = rf.refine(*_found(spark, d), settings=SETTINGS)
     return r.select("query_id", "video", "scene_id", *[F.round(c, 4).alias(c) for c in ("refined_start", "refined_end", "grounding_conf")])
 
 
 def _grounded(spark: SparkSession, d: str) -> DataFrame:
-    f = _found(spark, d)
-    return rf.ground(f, lines(spark, d), _grid(spark, d, f, "image"), _grid(spark, d, f, "audio"), SETTINGS)
+    return rf.ground(*_found(spark, d), settings=SETTINGS)
 
 
 def ground(spark: SparkSession, d: str) -> DataFrame:
