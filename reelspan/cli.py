@@ -42,8 +42,7 @@ def _encoder(settings: Settings) -> index.Encoder:
     try:
         return index.sentence_encoder(settings.models.text_model, settings.models.device)
     except ImportError:
-        print("reelspan: sentence-transformers is missing, texts are matched by hashed words (models.text_model: hashing)", file=sys.stderr)
-        return index.HashingEncoder()
+        raise SystemExit("reelspan: sentence-transformers is missing; models.text_model: hashing matches texts by hashed words") from None
 
 
 def _pair(make: Callable[..., index.Encoder], model: str, kind: str, **options) -> tuple[index.Encoder, index.Encoder] | None:  # noqa: ANN003
@@ -60,7 +59,8 @@ def _engine(spark: SparkSession, s: Settings, force: bool = False) -> en.Engine:
     videos = media.list_videos(spark, s.paths.video_root, s.preprocessing.suffixes, s.preprocessing.name_filter)
     image = _pair(index.clip_encoder, s.models.clip_model, "image", device=s.models.device)
     audio = _pair(index.clap_encoder, s.audio.model, "audio", rate=s.audio.sample_rate, device=s.models.device) if s.audio.enabled else None
-    return en.text_engine(spark, segments.read_parquet(spark, f"{root}/segments"), en.subtitle_lines(spark, s, videos), _encoder(s), f"{root}/index", s, force, image, audio)
+    frames, sounds = en.samplers(videos, s, image and image[0], audio and audio[0])
+    return en.text_engine(spark, segments.read_parquet(spark, f"{root}/segments"), en.subtitle_lines(spark, s, videos), _encoder(s), f"{root}/index", s, force, image, audio, frames, sounds)
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +14,14 @@ from reelspan.functions.text import classify_query, cut, fmt_time, frame_pooling
 from reelspan.operators import intervals, timeline
 from reelspan.plans import evaluate as ev
 from reelspan.plans import refine as rf
-from reelspan.plans.search import hybrid_search
+from reelspan.plans.search import hybrid_search, query_blocks
 from reelspan.session import cut_lineage
 from reelspan.settings import Settings
 from reelspan.sources import index, media, segments, subtitles
 
 #: No vectors of a modality.
 NONE = "array<float>"
+POINTS = "query_id int, video string, t double, image_sim double, audio_sim double"
 
 
 def subtitle_lines(spark: SparkSession, settings: Settings, videos: DataFrame, track: Callable | None = None) -> DataFrame:
@@ -66,7 +68,8 @@ class Engine:
 
     ``scenes``: ``ord, video, scene_id, scene_start, scene_end, subtitle, text_vec, image_vec, audio_vec``; ``lines``: as from
     ``line_seconds``; ``frames``, ``sounds``: ``video, t, vec`` on a grid, or None; ``encode``: from queries (``query_id,
-    query_text``) to the same with ``text_vec, image_vec, audio_vec``.
+    query_text``) to the same with ``text_vec, image_vec, audio_vec``; ``text_similarity``: of a query and a bin's lines; ``sample_frames``,
+    ``sample_sounds``: from the times of bins (``video, t`` or ``video, t, b_s, b_e``) to vectors (``video, t, vec``), decoded when they are asked for.
     """
 
     spark: SparkSession
@@ -76,6 +79,9 @@ class Engine:
     frames: DataFrame | None = None
     sounds: DataFrame | None = None
     settings: Settings = field(default_factory=Settings)
+    text_similarity: Callable = rf.bag_cosine
+    sample_frames: Callable[[DataFrame], DataFrame] | None = None
+    sample_sounds: Callable[[DataFrame], DataFrame] | None = None
 
     def search(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         found = hybrid_search(self.encode(queries), self.scenes, self.settings, top_k)
@@ -83,24 +89,39 @@ class Engine:
         s = self.scenes.select("video", "scene_id", "scene_start", "scene_end", "subtitle").dropDuplicates(["video", "scene_id"])
         return found.join(s, ["video", "scene_id"]).join(extent, "video", "left").fillna(0.0, ["duration"])
 
-    def _similar(self, grid: DataFrame | None, found: DataFrame, queries: DataFrame, mode: str) -> DataFrame:
-        from reelspan.functions.vectors import dot, l2_normalize
+    def _points(self, found: DataFrame, queries: DataFrame, block: int = 2048) -> DataFrame:
+        """``query_id, video, t, image_sim, audio_sim`` of the frames and sounds around each candidate: of its bins, where they are sampled, else on the grids.
+
+        Queries are taken in blocks; a block's vectors are broadcast, and each pair of a query and a point is one product."""
+        parts = []
+        for mode, grid, sample in (("image", self.frames, self.sample_frames), ("audio", self.sounds, self.sample_sounds)):
+            if grid is None and sample is None:
+                continue
+            vecs = sample(self._bin_times(found, mode)) if sample else grid
+            e = self.settings.refinement.expand
+            win = found.select("query_id", "video", (F.col("scene_start") - e).alias("s"), (F.col("scene_end") + e).alias("e"))
+            points = vecs.select("video", F.col("t").alias("ls"), F.col("t").alias("le"), "vec")
+            near = intervals.overlap_join(win, points).select("query_id", "video", F.col("ls").alias("t"), "vec").dropDuplicates(["query_id", "video", "t"])
+            for rows in query_blocks(queries.select("query_id", F.col(f"{mode}_vec").alias("q")).where("q IS NOT NULL"), "query_id", block):
+                parts.append(vectors.pair_scores(near, "vec", np.array([r.query_id for r in rows], np.int64), [r.q for r in rows], f"{mode}_sim"))
+        out = self.spark.createDataFrame([], POINTS)
+        for p in parts:
+            out = out.unionByName(p, allowMissingColumns=True)
+        return out
 
-        if grid is None:
-            return self.spark.createDataFrame([], "query_id int, video string, t double, sim double")
-        e = self.settings.refinement.expand
-        win = found.select("query_id", "video", (F.col("scene_start") - e).alias("s"), (F.col("scene_end") + e).alias("e"))
-        points = grid.select("video", F.col("t").alias("ls"), F.col("t").alias("le"), "vec")
-        near = intervals.overlap_join(win, points).select("query_id", "video", F.col("ls").alias("t"), "vec").dropDuplicates(["query_id", "video", "t"])
-        q = queries.select("query_id", F.col(f"{mode}_vec").alias("q")).where("q IS NOT NULL")
-        both = near.join(q, "query_id").select("query_id", "video", "t", l2_normalize(F.col("vec")).alias("a"), l2_normalize(F.col("q")).alias("b"))
-        return both.where("a IS NOT NULL AND b IS NOT NULL").select("query_id", "video", "t", dot(F.col("a"), F.col("b")).alias("sim"))
+    def _bin_times(self, found: DataFrame, mode: str) -> DataFrame:
+        """``video, t`` of the frames of each candidate's bins, or ``video, t, t_end`` of their sounds, each once."""
+        r = self.settings.refinement
+        bins = timeline.sliding_bins(timeline.search_window(found, "scene_start", "scene_end", "duration", r.expand), r.bin_size, r.stride)
+        if mode == "audio":
+            return bins.select("video", F.round((F.col("b_s") + F.col("b_e")) / 2, 3).alias("t"), F.round("b_s", 3).alias("b_s"), F.round("b_e", 3).alias("b_e")).dropDuplicates(["video", "t"])
+        return bins.select("video", F.explode(timeline.frame_times(F.col("b_s"), F.col("b_e"), r.bin_frames)).alias("t")).select("video", F.round("t", 3).alias("t")).distinct()
 
     def ground(self, queries: DataFrame, top_k: int | None = None, merge_gap: float | None = None) -> DataFrame:
         """Ranked spans of all ``queries`` (``query_id, query_text``)."""
         found = cut_lineage(self.search(queries, top_k))
         vecs = cut_lineage(self.encode(queries))
-        return rf.ground(found, self.lines, self._similar(self.frames, found, vecs, "image"), self._similar(self.sounds, found, vecs, "audio"), self.settings, merge_gap)
+        return rf.ground(found, self.lines, self._points(found, vecs), None, self.settings, merge_gap, self.text_similarity)
 
     def evaluate(self, gold: DataFrame, top_k: int | None = None, merge_gap: float | None = None) -> tuple[DataFrame, DataFrame]:
         """(rows, summary) of annotated queries."""
@@ -125,7 +146,7 @@ class Engine:
         g.orderBy("rank_pos").limit(show_top).select("rank_pos", "video", fmt_time(F.col("refined_start")).alias("begins"), fmt_time(F.col("refined_end")).alias("ends"), F.round("confidence", 3).alias("confidence"), cut(F.col("subtitle"), 200).alias("subtitle")).show(show_top, truncate=60)
 
 
-def text_engine(spark: SparkSession, scenes: DataFrame, lines: DataFrame, encoder: index.Encoder, path: str, settings: Settings = Settings(), force: bool = False, image: tuple[index.Encoder, index.Encoder] | None = None, audio: tuple[index.Encoder, index.Encoder] | None = None) -> Engine:
+def text_engine(spark: SparkSession, scenes: DataFrame, lines: DataFrame, encoder: index.Encoder, path: str, settings: Settings = Settings(), force: bool = False, image: tuple[index.Encoder, index.Encoder] | None = None, audio: tuple[index.Encoder, index.Encoder] | None = None, sample_frames: Callable | None = None, sample_sounds: Callable | None = None) -> Engine:
     """An engine over text and, where there are encoders of (files, queries), over ``image`` and ``audio``: scenes (``SEGMENTS``) are encoded
     and kept at ``path`` while nothing changes. With ``audio``, the settings' labels nearest to a scene's sound become its ``audio_events``."""
     none = F.lit(None).cast(NONE)
@@ -133,7 +154,7 @@ def text_engine(spark: SparkSession, scenes: DataFrame, lines: DataFrame, encode
     def build(s: DataFrame) -> DataFrame:
         out, key = text_part(s), ["video", "scene_id"]
         if image:
-            f = index.encoded(s.select(*key, F.explode("frames").alias("frame")), "frame", "image_vec", image[0])
+            f = index.some_usable(cut_lineage(index.encoded(s.select(*key, F.explode("frames").alias("frame")), "frame", "image_vec", image[0])), "image_vec", "picture")
             pooled = vectors.pool_mean(f.select(F.to_json(F.struct(*key)).alias("key"), "image_vec"), "key", "image_vec")
             out = out.join(pooled.select(F.from_json("key", "video string, scene_id int").alias("key"), "image_vec").select("key.*", "image_vec"), key, "left")
         if audio:
@@ -159,4 +180,24 @@ def text_engine(spark: SparkSession, scenes: DataFrame, lines: DataFrame, encode
             out = index.encoded(out, "query_text", c, pair[1]) if pair else out.withColumn(c, none)
         return out
 
-    return Engine(spark, ready, lines, encode, settings=settings)
+    return Engine(spark, ready, lines, encode, settings=settings, text_similarity=index.similarity(encoder), sample_frames=sample_frames, sample_sounds=sample_sounds)
+
+
+def samplers(videos: DataFrame, settings: Settings, image: index.Encoder | None, audio: index.Encoder | None, grab: Callable | None = None, sound: Callable | None = None) -> tuple[Callable | None, Callable | None]:
+    """(frames, sounds) of bins as vectors, by ffmpeg or by ``grab`` and ``sound``, on the executors; None where nothing can decode or encode them.
+
+    A time that several bins or candidates ask for is decoded once. Files are written below ``output_root``, which all workers share."""
+    root, rate = settings.paths.output_root, settings.audio.sample_rate
+    grab, sound = grab or (media.keyframe if media.ffmpeg() else None), sound or (media.scene_audio if media.ffmpeg() else None)
+
+    def made(times: DataFrame, take: Callable, suffix: str, encoder: index.Encoder) -> DataFrame:
+        at = times.join(videos.select("video", "path"), "video").repartition(F.col("video"), F.floor(F.col("t") / 30))
+        return index.encoded(media.with_sample_files(at, f"{root}/samples", suffix, take), "file", "vec", encoder).select("video", "t", "vec").where("vec IS NOT NULL")
+
+    def frames(times: DataFrame) -> DataFrame:
+        return made(times, lambda r: grab(r["path"], float(r["t"])), ".jpg", image)
+
+    def sounds(times: DataFrame) -> DataFrame:
+        return made(times, lambda r: sound(r["path"], float(r["b_s"]), float(r["b_e"]), rate), ".wav", audio)
+
+    return frames if image and grab else None, sounds if audio and sound else None

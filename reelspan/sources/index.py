@@ -8,7 +8,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 
@@ -72,6 +73,26 @@ def encoded(df: DataFrame, item: str, out: str, encoder: Encoder, batch: int = 2
     return df.mapInPandas(run, f"{fields}, `{out}` array<float>")
 
 
+def similarity(encoder: Encoder) -> Callable[[Column, Column], Column]:
+    """Cosine of two texts by an encoder, from 0; a text without a vector is like nothing. Taken by rows, in batches."""
+
+    @F.pandas_udf("double")
+    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        texts = list(dict.fromkeys([*a.fillna(""), *b.fillna("")]))
+        vecs = dict(zip(texts, encoder.encode(texts)))
+
+        def one(x: str, y: str) -> float:
+            u, v = vecs[x], vecs[y]
+            n = 0.0 if u is None or v is None else float(np.linalg.norm(u) * np.linalg.norm(v))
+            return max(0.0, float(np.dot(u, v)) / n) if n else 0.0
+
+        return pd.Series([one(x, y) for x, y in zip(a.fillna(""), b.fillna(""))])
+
+    out = lambda a, b: cosine(a, b)
+    out.by_rows = True
+    return out
+
+
 def fingerprint(segments: DataFrame) -> str:
     """A number for the content of a table, whatever the order of its rows."""
     h = F.xxhash64(*[F.to_json(F.struct(*segments.columns))])
@@ -88,7 +109,9 @@ def build_or_load(spark: SparkSession, segments: DataFrame, path: str, manifest:
     want = json.dumps({**manifest, "segments": fingerprint(segments)}, sort_keys=True)
     try:
         have = spark.read.text(path + "/manifest", wholetext=True).first()
-    except Exception:  # noqa: BLE001 - no manifest, in whatever file system
+    except AnalysisException as e:  # there is no manifest; any other error is one
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         have = None
     if have and have[0].strip() == want and not force:
         return spark.read.parquet(path + "/vectors"), False
@@ -179,6 +202,13 @@ def clap_encoder(model: str, kind: str = "audio", rate: int = 48_000, device: st
     return Clap()
 
 
+def some_usable(df: DataFrame, column: str, what: str) -> DataFrame:
+    """``df``, of which at least one row must have a vector in ``column``, if it has any rows: that all failed is no result."""
+    if df.where(F.col(column).isNotNull()).isEmpty() and not df.isEmpty():
+        raise ValueError(f"no {what} could be encoded")
+    return df
+
+
 def zero_filled(df: DataFrame, column: str, width: int) -> DataFrame:
     """Missing vectors as zeros, as a dense matrix has them; their similarity to anything is 0."""
     return df.withColumn(column, F.coalesce(column, F.array_repeat(F.lit(0.0).cast("float"), width)))

@@ -133,6 +133,26 @@ def with_scene_files(scenes: DataFrame, audio: str | None, rate: int, grab: Call
     return scenes.mapInPandas(run, fields)
 
 
+def with_sample_files(times: DataFrame, folder: str, suffix: str, take: Callable[[dict], bytes | None]) -> DataFrame:
+    """``times`` (``video, t`` and what ``take`` needs of a row) with ``file``: what ``take`` gives, written below ``folder``; null where it gives nothing."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in times.schema.fields)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            names: list[str | None] = []
+            for row in f.to_dict("records"):
+                name = f"{folder}/{row['video'].rpartition('.')[0] or row['video']}/{row['t']:.3f}{suffix}"
+                data = take(row)
+                if data:
+                    os.makedirs(os.path.dirname(name), exist_ok=True)
+                    with open(name, "wb") as out:
+                        out.write(data)
+                names.append(name if data else None)
+            yield f.assign(file=pd.Series(names, index=f.index, dtype=object))
+
+    return times.mapInPandas(run, f"{fields}, file string")
+
+
 def frame_scores(spark: SparkSession, videos: DataFrame, score: Callable[[str], Iterator[tuple[int, float, float]]]) -> DataFrame:
     """``video, frame, t, score`` of ``videos`` (``video, path``) by a decoder: (frame, seconds, change from the frame before)."""
 

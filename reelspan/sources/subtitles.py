@@ -56,10 +56,11 @@ def read_subtitles(spark: SparkSession, files: DataFrame) -> DataFrame:
 
     Each file is read whole by one task, in an encoding told from its bytes: UTF-8, UTF-16 with a mark, else Latin-1.
     """
-    paths = [r[0] for r in files.where("path IS NOT NULL").select("path").distinct().collect()]
-    if not paths:
+    # folders are few, files need not be: the content is found by a join
+    folders = [r[0] for r in files.where("path IS NOT NULL").select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect()]
+    if not folders:
         return spark.createDataFrame([], LINES)
-    content = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.{srt,ass,ssa,SRT,ASS,SSA}").load(folders).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
     named = files.select("video", F.regexp_replace("path", "^file:/*", "/").alias("path"))
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

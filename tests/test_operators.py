@@ -147,3 +147,46 @@ def test_names_match_exactly_first_then_by_containment(spark):
 def test_once_keeps_the_first_delivery(spark):
     df = spark.createDataFrame([("a", 1, "x", 5), ("a", 1, "x", 3), ("b", None, "y", None), ("b", None, "y", 1)], "k string, i int, t string, ingested_at int")
     assert sorted((r.k, r.ingested_at) for r in once(df, ["k", "i"]).collect()) == [("a", 3), ("b", 1)]
+
+
+def test_large_groups_are_cut_into_ranges(spark):
+    rng = random.Random(9)
+    rows = [("hot", i, rng.choice([1.0, 1.0, rng.random()]), rng.randint(0, 5)) for i in range(800)] + [("few", i, rng.random(), 1) for i in range(7)] + [(None, 1, 0.5, 2)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, i int, x double, n int").repartition(5)
+    got = {(r.g, r.i): (r.total_before, r.group_total) for r in prefix.running_total(df, ["g"], "x", "n", ["i"], most=50).collect()}
+    for g in ("hot", "few", None):
+        total = 0
+        for _, i, n in sorted((x, i, n) for h, i, x, n in rows if h == g):
+            assert got[g, i] == (total, sum(n for h, _, _, n in rows if h == g))
+            total += n
+    number = {(r.g, r.i): r.number for r in timeline.number_scenes(df, "g", "i", most=50).collect()}
+    assert all(number["hot", i] == i for i in range(800))
+    a, b = [{(r.g, r.i): round(r.smoothed, 9) for r in timeline.smooth(df, ["g"], "i", "x", most=m).collect()} for m in (50, 10_000)]
+    assert a == b
+    for most in (50, 10_000):
+        p = {(r.g, r.i): r.pause for r in timeline.pauses(df.withColumn("e", F.col("x") + 1), "g", "i", "x", "e", most=most).collect()}
+        at = {(g, i): x for g, i, x, _ in rows}
+        assert p["hot", 0] == 0 and all(abs(p["hot", i] - (at["hot", i] - at["hot", i - 1] - 1)) < 1e-9 for i in range(1, 800))
+        s = timeline.scene_bounds(df, "g", "i", "x", "x", 0.9, most=most).where("g = 'hot'").orderBy("scene_id").collect()
+        cuts = [i for i in range(1, 800) if at["hot", i] > 0.9]
+        assert len(s) == len(cuts) + 1 and [r.scene_id for r in s] == list(range(len(s)))
+
+
+def test_islands_of_large_groups(spark):
+    rng = random.Random(10)
+    rows = [(g, i, float(s), float(s + rng.randint(0, 30)), rng.random()) for g, n in (("hot", 500), ("few", 5)) for i, s in enumerate(rng.randint(0, 20_000) for _ in range(n))]
+    df = spark.createDataFrame(rows, "g string, i int, s double, e double, x double")
+    a, b = [sorted(map(tuple, islands.mark_islands(df, ["g"], "s", "e", ["i"], 20.0, most=m).select("g", "i", "island").collect())) for m in (50, 10_000)]
+    assert a == b
+
+
+def test_repeated_keys_are_found_by_their_keys_alone(spark):
+    rows = [(f"v{i % 40}", i // 40, "t" * 50, i) for i in range(2000)] + [(None, 1, "x", 5), (None, 1, "x", 4)] + [("v1", 3, "t" * 50, 9000 + i) for i in range(500)]
+    df = spark.createDataFrame(rows, "v string, k int, text string, ingested_at int").repartition(4)
+    for most in (4_000_000, 0):
+        got = once(df, ["v", "k"], most=most).collect()
+        assert len(got) == 2001 and {(r.v, r.k) for r in got if r.ingested_at >= 9000} == set() and [r.ingested_at for r in got if r.v is None] == [4]
+    assert once(df.limit(0), ["v", "k"]).count() == 0
+    plan = once(df, ["v", "k"])._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan

@@ -6,6 +6,7 @@ import wave
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelspan import cli
 from reelspan import engine as en
@@ -114,7 +115,7 @@ def test_preprocess_and_engine(spark, library):
 
 
 def test_command_line(spark, library, capsys):
-    (library / "c.yaml").write_text(f"paths:\n  video_root: {library / 'videos'}\n  subtitle_root: {library / 'subs'}\n  output_root: {library / 'out'}\n")
+    (library / "c.yaml").write_text(f"paths:\n  video_root: {library / 'videos'}\n  subtitle_root: {library / 'subs'}\n  output_root: {library / 'out'}\nmodels:\n  text_model: hashing\n")
     scores_of(spark).write.parquet(str(library / "scores"))
     spark.createDataFrame([(0, "red radio", "Show S01E01.mkv", 60.0, 63.0, "mixed")], "query_id int, query_text string, video string, gt_start double, gt_end double, query_type string").write.parquet(str(library / "gold"))
     base = ["--config", str(library / "c.yaml")]
@@ -165,3 +166,32 @@ def test_frames_sounds_tracks_and_labels_reach_the_index(spark, library):
     assert (got[0].audio_event_text, got[1].audio_event_text, got[2].audio_event_text) == ("siren", "rain", "")
     found = {(r.video, r.scene_id): r for r in e.search(spark.createDataFrame([(0, "siren scarf")], "query_id int, query_text string")).collect()}
     assert found["Other.avi", 0].image_score > 0.5 and found["Other.avi", 0].audio_score > 0.5
+
+
+def test_frames_and_sounds_of_bins_are_sampled_for_the_curves(spark, library):
+    """By stand-ins: a file holds the word that is seen or heard at its time."""
+
+    class Files(index.HashingEncoder):
+        def encode(self, items):
+            return super().encode([open(p).read() if p else "" for p in items])
+
+    s = Settings(paths=Paths(str(library / "videos"), str(library / "subs"), str(library / "out")))
+    grab = lambda path, t: b"scarf" if "E02" in path and 40 <= t < 44 else b"wall"
+    sound = lambda path, a, b, rate: None if "E01" in path else b"siren"
+    scenes = en.preprocess(spark, s, scores_of(spark), None, lambda p, t: b"scarf" if "E02" in p else b"wall", None)
+    videos, enc = media.list_videos(spark, s.paths.video_root), index.HashingEncoder()
+    frames, sounds = en.samplers(videos, s, Files(), Files(), grab, sound)
+    e = en.text_engine(spark, scenes, en.subtitle_lines(spark, s, videos), enc, str(library / "ix4"), s, image=(Files(), enc), audio=None, sample_frames=frames, sample_sounds=sounds)
+    got = e.ground(spark.createDataFrame([(0, "scarf")], "query_id int, query_text string"), top_k=1).first()
+    assert got.video == "Show S01E02.MP4" and got.refined_start <= 40 and got.refined_end >= 43.5
+    assert sounds(spark.createDataFrame([("Show S01E01.mkv", 1.0, 0.0, 2.0), ("Show S01E02.MP4", 1.0, 0.0, 2.0)], "video string, t double, b_s double, b_e double")).count() == 1
+    assert en.samplers(videos, s, None, None, grab, sound) == (None, None)
+
+
+def test_pictures_that_all_fail_are_an_error(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "k int, v array<float>")
+    with pytest.raises(ValueError, match="no picture"):
+        index.some_usable(df, "v", "picture")
+    assert index.some_usable(df.limit(0), "v", "picture").count() == 0
+    sim = spark.createDataFrame([("red scarf", "a red scarf"), ("red", ""), (None, "x")], "a string, b string").select(index.similarity(index.HashingEncoder())(F.col("a"), F.col("b")).alias("s"))
+    assert [round(r.s, 3) for r in sim.collect()] == [0.816, 0.0, 0.0]
