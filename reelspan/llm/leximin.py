@@ -5,60 +5,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.operators.prefix import join_by, running_total
+from reelspan.operators.prefix import MOST, by_size, join_by, running_total
 from reelspan.session import cut_lineage
 
 #: Percentiles are whole millionths in 0..STEPS-1; places closer than that are equal.
 STEPS = 1_000_000
 
 
-def percentiles(items: DataFrame, group: str, keys: list[str], scores: list[str]) -> DataFrame:
-    """``group, *keys, <score>_pct`` for each score: the share of the group's values below it plus half of its equals.
+def _percentile(below: Column, same: Column, all_: Column) -> Column:
+    """The place of a value, in whole millionths."""
+    return F.least(F.floor((below + same / 2) / all_ * STEPS), F.lit(STEPS - 1))
 
-    Values are counted per distinct (group, score, value) before anything is ordered, so ties share one place and a
-    group full of equal values is one row. Null and NaN have a null percentile, but the middle where the group has one value
-    only: it tells nothing of anybody. ``keys`` identify an item in its group.
-    """
-    entry = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), (F.col(s).cast("double") + 0.0).alias("v")) for i, s in enumerate(scores)]))
-    long = items.select(F.col(group).alias("_g"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], entry.alias("e"))
-    ids = [f"_k{i}" for i in range(len(keys))]
-    long = long.select("_g", *ids, "e.m", F.when(~F.isnan("e.v"), F.col("e.v")).alias("v"))
-    values = cut_lineage(long.where("v IS NOT NULL").groupBy("_g", "m", "v").agg(F.count("*").alias("n")))
-    place = running_total(values, ["_g", "m"], "v", "n").select(
-        "_g", "m", "v", F.least(F.floor((F.col("total_before") + F.col("n") / 2) / F.col("group_total") * STEPS), F.lit(STEPS - 1)).alias("p"),
-        (F.col("n") == F.col("group_total")).alias("flat"),
-    )
-    # where all stand equally, so do those without the value
-    also = F.explode(F.when(F.col("flat"), F.array(F.lit(None).cast("double"), F.col("v"))).otherwise(F.array("v"))).alias("v")
-    place = place.select("_g", "m", also, "p")
-    placed = join_by(long, place, ["_g", "m", "v"], "left")
-    wide = placed.groupBy("_g", *ids).agg(*[F.max(F.when(F.col("m") == i, F.col("p"))).alias(f"{s}_pct") for i, s in enumerate(scores)])
-    return wide.select(F.col("_g").alias(group), *[F.col(i).alias(k) for i, k in zip(ids, keys)], *[f"{s}_pct" for s in scores])
-
-
-def leximin_rank(items: DataFrame, group: str, keys: list[str], scores: list[str]) -> DataFrame:
+
+def _in_one_task(items: DataFrame, group: str, scores: list[str]) -> DataFrame:
+    """Adds ``<score>_pct``, by windows over groups that one task may hold."""
+    whole = Window.partitionBy(group)
+    for s in scores:
+        v = F.col(s)
+        below, same, all_ = F.rank().over(whole.orderBy(v.asc_nulls_last())) - 1, F.count(v).over(Window.partitionBy(group, s)), F.count(v).over(whole)
+        flat = F.min(v).over(whole) == F.max(v).over(whole)
+        items = items.withColumn(f"{s}_pct", F.when(flat, STEPS // 2).when(v.isNotNull(), _percentile(below, same, all_)).cast("bigint"))
+    return items
+
+
+def _by_values(items: DataFrame, group: str, scores: list[str], salts: int = 16) -> DataFrame:
+    """Adds ``<score>_pct`` in large groups: values are counted per distinct (group, score, value) before anything is ordered, so that ties
+    are one row, and come back by a salted join, so that the items of one value are spread; missing values do not take part in it."""
+    for s in scores:
+        values = cut_lineage(items.where(F.col(s).isNotNull()).groupBy(group, F.col(s).alias("_v")).agg(F.count("*").alias("_n")))
+        place = running_total(values, [group], "_v", "_n")
+        flat = cut_lineage(place.where(F.col("_n") == F.col("group_total")).select(group, F.lit(True).alias("_flat")))
+        place = place.select(group, "_v", _percentile(F.col("total_before"), F.col("_n"), F.col("group_total")).alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        known = items.where(F.col(s).isNotNull()).withColumn("_v", F.col(s)).withColumn("_salt", F.pmod(F.xxhash64(*items.columns), F.lit(salts)).cast("int"))
+        known = join_by(known, place, [group, "_v", "_salt"]).drop("_v", "_salt")
+        items = known.unionByName(items.where(F.col(s).isNull()).withColumn("_p", F.lit(None).cast("bigint")))
+        items = join_by(items, flat, [group], "left", small=True).withColumn(f"{s}_pct", F.when(F.col("_flat"), STEPS // 2).otherwise(F.col("_p")).cast("bigint")).drop("_flat", "_p")
+    return items
+
+
+def leximin_rank(items: DataFrame, group: str, keys: list[str], scores: list[str], most: int = MOST) -> DataFrame:
     """``group, *keys, <score>_pct, leximin, rank_pos``: items of each group ordered so that the weakest score counts first.
 
+    ``<score>_pct`` is the share of the group's values below an item's plus half of its equals, in whole millionths: places closer than
+    that are equal. Null and NaN have none, but the middle where the group has one value only: it tells nothing of anybody.
     An item's percentiles are sorted ascending and compared as arrays, the larger being better, so a high score cannot
     make up for a low one. A missing score takes the mean of the item's other percentiles, or the middle if it has
     none: it counts neither for nor against. Items with equal arrays are ordered by ``keys``. Repeated items
-    (same group and keys) count once. Groups may be of any size: see ``running_total``.
+    (same group and keys) count once. Groups of at most ``most`` rows are ranked whole after one exchange; larger ones by ranges,
+    so a group of any size and any number of equal scores is spread.
     """
-    pct = percentiles(items.dropDuplicates([group, *keys]), group, keys, scores)
-    cols = [F.col(f"{s}_pct") for s in scores]
-    known = F.filter(F.array(*cols), lambda x: x.isNotNull())
-    mean = F.when(F.size(known) > 0, F.floor(F.aggregate(known, F.lit(0).cast("bigint"), lambda a, x: a + x) / F.size(known))).otherwise(STEPS // 2)
-    own = pct.withColumn("leximin", F.array_sort(F.array(*[F.coalesce(c, mean) for c in cols])))
-    # a whole number that orders as the first three places do: ranges of it cut large groups
-    packed: Column = F.lit(0).cast("bigint")
-    for i in range(min(3, len(scores))):
-        packed = packed * STEPS + F.col("leximin")[i]
-    own = cut_lineage(own.withColumn("_worse", -packed))
-    sizes = own.groupBy(group, "_worse").agg(F.count("*").alias("_n"))
-    ahead = running_total(sizes, [group], "_worse", "_n").select(group, "_worse", "total_before")
-    at = join_by(own, ahead, [group, "_worse"])
-    inside = Window.partitionBy(group, "_worse").orderBy(F.desc("leximin"), *keys)
-    return at.withColumn("rank_pos", F.col("total_before") + F.row_number().over(inside)).drop("_worse", "total_before")
+    clean = [F.when(~F.isnan(x), x + 0.0).alias(s) for s in scores for x in [F.col(s).cast("double")]]
+    box = dict(zip([group, *keys], ["_g", *[f"_k{i}" for i in range(len(keys))]]))  # names that no other column has
+    rows = items.select(*[F.col(c).alias(n) for c, n in box.items()], *clean)
+    small, large = by_size(rows, ["_g"], most)
+    ids = list(box.values())
+
+    def arrays(df: DataFrame) -> DataFrame:
+        cols = [F.col(f"{s}_pct") for s in scores]
+        known = F.filter(F.array(*cols), lambda x: x.isNotNull())
+        mean = F.when(F.size(known) > 0, F.floor(F.aggregate(known, F.lit(0).cast("bigint"), lambda a, x: a + x) / F.size(known))).otherwise(STEPS // 2)
+        return df.withColumn("leximin", F.array_sort(F.array(*[F.coalesce(c, mean) for c in cols]))).drop(*scores)
+
+    # partitioned by the group once: what follows needs no other exchange
+    out = arrays(_in_one_task(small.repartition("_g").dropDuplicates(ids), "_g", scores))
+    out = out.withColumn("rank_pos", F.row_number().over(Window.partitionBy("_g").orderBy(F.desc("leximin"), *ids[1:])).cast("bigint"))
+    if large is not None:
+        own = cut_lineage(arrays(_by_values(large.dropDuplicates(ids), "_g", scores)).withColumn("_worse", F.transform("leximin", lambda x: -x)).withColumn("_one", F.lit(1)))
+        ranked = running_total(own, ["_g"], "_worse", "_one", ties=ids[1:], most=most)
+        out = out.unionByName(ranked.withColumn("rank_pos", (F.col("total_before") + 1).cast("bigint")).drop("_worse", "_one", "total_before", "group_total"))
+    return out.select(*[F.col(n).alias(c) for c, n in box.items()], *[f"{s}_pct" for s in scores], "leximin", "rank_pos")
 
 
 def top_of_each(ranked: DataFrame, wanted: DataFrame, group: str, limit: str) -> DataFrame:

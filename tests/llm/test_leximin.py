@@ -42,6 +42,15 @@ def test_against_a_plain_version(spark):
     assert got == plain(rows)
 
 
+def test_large_groups_with_many_ties_and_missing_scores_are_ranked_by_ranges(spark):
+    rng = random.Random(2)
+    val = lambda: rng.choice([None, 1.0, 1.0, rng.gauss(0, 1)])
+    rows = [(1, k, 0.5 if k % 3 else val(), None if k % 3 else val(), 7.0, 0, "x", 1) for k in range(900)] + [(g, k, val(), val(), val(), 0, "x", 1) for g in (2, 3) for k in range(20)]
+    rows += rows[:40]
+    got = {(r.g, r.k): r.rank_pos for r in leximin_rank(spark.createDataFrame(rows, DDL), "g", ["k"], S, most=100).collect()}
+    assert got == plain(rows)
+
+
 def test_scale_does_not_matter(spark):
     rows = [(1, k, float(k), 1e9 * (10 - k), None) for k in range(11)]
     small = [(g, k, a, b / 1e12, c) for g, k, a, b, c in rows]
