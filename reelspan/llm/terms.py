@@ -49,11 +49,10 @@ def _combine(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
 
 
 def _radix_aggregate(batches: Iterator[pa.RecordBatch], folder: str, memory_mb: int, bits: int, used_bits: int) -> Iterator[pa.RecordBatch]:
-    """Totals of the terms in ``batches``: as far as they fit in memory at once, else spilled by the next hash bits.
+    """Totals of the terms in ``batches``, which are partitioned to disk by the next hash bits.
 
-    Every partition that is still over the memory goes through the same split with the bits after; when the bits are
-    used up, only rows of one hash are left, which add up in a stream. Each leaf is aggregated by DuckDB under the
-    same memory limit.
+    Every partition over the memory goes through the same split with the bits after; when the bits are used up, only rows of
+    one hash are left, which add up in a stream. Each leaf is aggregated by DuckDB under the same memory limit.
     """
     import duckdb
     import pyarrow.ipc as ipc
@@ -65,20 +64,18 @@ def _radix_aggregate(batches: Iterator[pa.RecordBatch], folder: str, memory_mb:
     place: list = []
 
     def spill_to() -> tuple:
-        """File system and folder of this attempt, first asked for when something must be spilled."""
+        """File system and folder of this attempt, first asked for when there are rows."""
         if not place:
             files, root = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://"))
             place.extend((files, f"{root}/{name}"))
-        return tuple(place)
+        return place[0], place[1]
 
-    def leaf(tables: list[pa.RecordBatch] | Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        con = duckdb.connect(config={"threads": 1, "memory_limit": f"{max(64, 3 * memory_mb)}MB", "temp_directory": f"{spill_to()[1]}/duckdb" if local else ""})
-        try:
-            part = pa.RecordBatchReader.from_batches(PARTIAL, tables)  # noqa: F841 - named in the SQL
-            total = con.sql("SELECT field_name, term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM part GROUP BY ALL")
-            yield from total.fetch_arrow_reader(10_000) if not hasattr(total, "to_arrow_reader") else total.to_arrow_reader(10_000)
-        finally:
-            con.close()
+    def leaf(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(place) == 2:  # one DuckDB a task
+            place.append(duckdb.connect(config={"threads": 1, "memory_limit": f"{max(64, 3 * memory_mb)}MB", "temp_directory": f"{spill_to()[1]}/duckdb" if local else ""}))
+        part = pa.RecordBatchReader.from_batches(PARTIAL, rows)  # noqa: F841 - named in the SQL
+        total = place[2].sql("SELECT field_name, term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM part GROUP BY ALL")
+        yield from total.fetch_arrow_reader(10_000) if not hasattr(total, "to_arrow_reader") else total.to_arrow_reader(10_000)
 
     def split(source: Iterator[pa.RecordBatch], start: int, below: str) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -113,12 +110,10 @@ def _radix_aggregate(batches: Iterator[pa.RecordBatch], folder: str, memory_mb:
             if size > limit:
                 spill()
                 size = 0
-        if not sinks:
-            if held:
-                yield from leaf(held)
-            return
         if held:
             spill()
+        if not sinks:
+            return
         for out, sink in sinks.values():
             sink.close()
             out.close()
@@ -133,6 +128,8 @@ def _radix_aggregate(batches: Iterator[pa.RecordBatch], folder: str, memory_mb:
     try:
         yield from split(iter(batches), used_bits, "")
     finally:
+        if len(place) > 2:
+            place[2].close()
         files, run = spill_to() if place else (None, "")
         if files and files.get_file_info(run).type != fs.FileType.NotFound:
             files.delete_dir(run)
@@ -142,8 +139,8 @@ def term_totals(terms: DataFrame, memory_mb: int = 64, bits: int = 4, combine_ro
     """``field_name, term, occurrences, records`` over ``field_name, terms array<string>``, one row per record and field.
 
     Terms are counted inside each record, then inside each task, so that a frequent term travels once per task; the
-    rest is partitioned by the leading bits of the term's hash, and a task splits what exceeds ``memory_mb`` further by
-    the bits after, on disk in the shared folder. A null array is a record without terms; an empty table gives none.
+    rest is partitioned by the leading bits of the term's hash between the tasks, and in a task by the bits after, on disk in the
+    shared folder; what exceeds ``memory_mb`` there is split further. A null array is a record without terms; an empty table gives none.
     """
     spark = terms.sparkSession
     folder = shared_dir(spark)
