@@ -559,7 +559,7 @@ def corpus_model(texts: DataFrame, text: str, vocabulary_share: float = 1e-5) ->
 
     # a stated number of partitions is kept by adaptive execution: the tokens are few bytes, but much work. Written once, read for sums and words
     spread = max(tokens.sparkSession.sparkContext.defaultParallelism, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counts = cut_lineage(tokens.repartition(spread, "token").mapInPandas(count, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    counts = cut_lineage(tokens.repartition(spread, F.xxhash64("token")).mapInPandas(count, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
     kind = F.substring("key", 1, 1)
     sums = counts.where(kind == "w").agg(F.sum("n").alias("_total"))
     kept = counts.crossJoin(F.broadcast(sums)).where((kind != "w") | (F.col("n") >= F.col("_total") * vocabulary_share)).select("key", "n", "_total")
