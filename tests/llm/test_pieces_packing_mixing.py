@@ -85,6 +85,45 @@ def test_flow_of_overlapping_sources():
     assert min_cost_flow([], [], [Fraction(1)], [1]) == {}
 
 
+def test_flow_is_the_cheapest_of_the_largest():
+    from itertools import product
+
+    rng = random.Random(5)
+    for _ in range(60):
+        n, m = rng.randint(1, 3), rng.randint(1, 2)
+        sizes, repeats = [rng.randint(1, 2) for _ in range(n)], [rng.randint(0, 2) for _ in range(m)]
+        member = [sorted(rng.sample(range(m), rng.randint(1, m))) for _ in range(n)]
+        quotas = [rng.randint(0, 5) for _ in range(m)]
+        edges = [(i, j) for i in range(n) for j in member[i]]
+
+        def value(f, edges=edges, sizes=sizes, n=n):
+            per = [sum(x for (i, _), x in zip(edges, f) if i == p) for p in range(n)]
+            return sum(f), -sum(t // s * (t // s - 1) // 2 * s + t % s * (t // s) for t, s in zip(per, sizes))
+
+        best = max(value(f) for f in product(*[range(sizes[i] * repeats[j] + 1) for i, j in edges]) if all(sum(x for (_, b), x in zip(edges, f) if b == j) <= quotas[j] for j in range(m)))
+        got = min_cost_flow(sizes, member, [Fraction(q) for q in quotas], repeats)
+        assert value([got.get(e, 0) for e in edges]) == best
+
+
+def test_ten_thousand_patterns_take_seconds():
+    import time
+
+    rng = random.Random(6)
+    sizes = [rng.randint(1, 10**6) for _ in range(10_000)]
+    member = [sorted(rng.sample(range(16), rng.randint(1, 5))) for _ in sizes]
+    quotas = [Fraction(0.3 * rng.random()) * sum(sizes) for _ in range(16)]
+    began = time.time()
+    flow = min_cost_flow(sizes, member, quotas, [3] * 16)
+    assert time.time() - began < 30 and all(sum(v for (_, b), v in flow.items() if b == j) <= q for j, q in enumerate(quotas))
+
+
+def test_repeated_and_differently_spelled_targets_are_one(spark):
+    docs = spark.createDataFrame([(1, 100, ["a"]), (2, 100, ["none"])], "doc_id long, size long, sources array<string>")
+    targets = spark.createDataFrame([("m", "A ", 0.2, 1, 1.0), ("m", "a", 0.5, 2, 1.0), ("m", None, 0.5, 1, 1.0)], "mix_id string, source string, target_share double, max_repeats int, size_factor double")
+    rows = {r.source: (r.quota, r.flow_size, r.out_of_reach) for r in plan_mixes(docs, targets).where("pattern IS NULL").collect()}
+    assert rows == {"a": (100.0, 100.0, False), None: (100.0, 0.0, True)}
+
+
 def test_mix_comes_near_its_shares(spark):
     rng = random.Random(3)
     rows = [(i, rng.randint(0, 900), ["a"] if i % 3 else ["a", "b"]) for i in range(3000)] + [(9000 + i, 100, ["c"]) for i in range(10)] + [(9999, 70, None), (9998, None, [])]
