@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -18,8 +19,16 @@ _END = regex.compile(
 _KIND = {"p": PARAGRAPH, "l": LINE, "s": SENTENCE, "c": CLAUSE, "w": WORD}
 
 
-def _atoms(text: str, most: int) -> tuple[list[int], list[int], list[int]]:
-    """Ends (in characters), sizes (bytes) and strengths of the end of the smallest segments.
+def _offsets(text: str) -> np.ndarray:
+    """The first byte of each character in UTF-8, and the number of bytes."""
+    if text.isascii():
+        return np.arange(len(text) + 1)
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return np.append(np.nonzero((data & 0xC0) != 0x80)[0], len(data))
+
+
+def _atoms(text: str, most: int, at: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Ends (in characters), sizes (bytes) and strengths of the end of the smallest segments; ``at``: the offsets of ``text``.
 
     Sentences, lines and paragraphs are whole unless larger than ``most``; those are cut at clauses and blanks, and
     what is still larger, at characters.
@@ -30,20 +39,14 @@ def _atoms(text: str, most: int) -> tuple[list[int], list[int], list[int]]:
     ends: list[int] = []
     sizes: list[int] = []
     kinds: list[int] = []
+    byte = at.tolist()
 
     def add(start: int, end: int, kind: int) -> None:
-        size = len(text[start:end].encode("utf-8", "surrogatepass"))
-        if size <= most:
-            ends.append(end), sizes.append(size), kinds.append(kind)
-            return
-        at, run = start, 0
-        for i in range(start, end):
-            n = len(text[i].encode("utf-8", "surrogatepass"))
-            if run + n > most and run:
-                ends.append(i), sizes.append(run), kinds.append(CHARACTER)
-                at, run = i, 0
-            run += n
-        ends.append(end), sizes.append(run), kinds.append(kind)
+        while byte[end] - byte[start] > most:
+            cut = max(start + 1, int(np.searchsorted(at, byte[start] + most, "right")) - 1)
+            ends.append(cut), sizes.append(byte[cut] - byte[start]), kinds.append(CHARACTER)
+            start = cut
+        ends.append(end), sizes.append(byte[end] - byte[start]), kinds.append(kind)
 
     start, i = 0, 0
     while i < len(marks):
@@ -51,7 +54,7 @@ def _atoms(text: str, most: int) -> tuple[list[int], list[int], list[int]]:
         while marks[j][1] < SENTENCE and j + 1 < len(marks):
             j += 1
         end, kind = marks[j]
-        if len(text[start:end].encode("utf-8", "surrogatepass")) <= most:
+        if byte[end] - byte[start] <= most:
             add(start, end, kind)
         else:
             for e, k in marks[i : j + 1]:
@@ -74,7 +77,8 @@ def split_text(text: str, most: int, overlap: int, halved: bool = True) -> list[
     overlap = max(0, min(overlap, (most - 4) // 2) if halved else overlap)
     if overlap > most - 4:
         raise ValueError(f"an overlap of {overlap} leaves no room for a character in a piece of {most} bytes")
-    ends, sizes, kinds = _atoms(text, most - overlap)
+    at = _offsets(text)
+    ends, sizes, kinds = _atoms(text, most - overlap, at)
     n = len(ends)
     left, right, alive, version = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n, [0] * n
     heap: list[tuple[int, int, int, int, int]] = []
@@ -109,10 +113,7 @@ def split_text(text: str, most: int, overlap: int, halved: bool = True) -> list[
     while i < n:
         first = start
         if out and overlap:
-            room, floor = overlap, out[-1][0]
-            while first > floor and (b := len(text[first - 1].encode("utf-8", "surrogatepass"))) <= room:
-                room -= b
-                first -= 1
+            first = max(out[-1][0], int(np.searchsorted(at, at[start] - overlap, "left")))
         out.append((first, start, ends[i]))
         start, i = ends[i], right[i]
     return out
