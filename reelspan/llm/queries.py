@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelspan.llm import encoding, leximin, markup, mixing, neighbours, packing, pieces, terms
@@ -92,6 +92,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_assignment(spark, d).where("start_token > 0").select("container_kind", "doc_id").distinct()
 
 
+def p6_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Of every kind: tokens and documents assigned, containers over the capacity, pieces of documents that fit whole."""
+    a, kinds = p6_assignment(spark, d), table(spark, d, "containers").distinct()
+    per = a.groupBy("container_kind", "container_id").agg(F.sum("size_tokens").alias("t")).join(F.broadcast(kinds), "container_kind")
+    over = per.groupBy("container_kind").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_over"), F.sum("t").alias("tokens"))
+    docs = a.groupBy("container_kind", "doc_id").agg(F.count("*").alias("n"), F.sum("size_tokens").alias("size")).join(F.broadcast(kinds), "container_kind")
+    whole = docs.groupBy("container_kind").agg(F.count("*").alias("n_docs"), F.count_if((F.col("n") > 1) & (F.col("size") <= F.col("capacity_tokens"))).alias("n_divided"))
+    return over.join(whole, "container_kind").select("container_kind", "tokens", "n_docs", "n_over", "n_divided")
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     source = F.trim(F.lower("source"))
     return table(spark, d, "documents").select(
@@ -118,6 +128,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return plan.where("pattern IS NULL AND out_of_reach").select("mix_id", "source")
 
 
+def p7_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Quota and flow of every target."""
+    plan = mixing.plan_mixes(_sized(spark, d), table(spark, d, "mix_targets")).where("pattern IS NULL")
+    return plan.select("mix_id", "source", F.round("quota", 3).alias("quota"), F.round("flow_size", 3).alias("flow"), "out_of_reach")
+
+
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     """All pieces of all documents larger than their source allows."""
     return pieces.split_oversized(table(spark, d, "documents"), table(spark, d, "size_limits"))
@@ -127,8 +143,23 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_pieces(spark, d).where("piece_no = 0").select("doc_id")
 
 
+def p8_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Of every divided document: tokens without overlaps, where the last piece ends, pieces over the limit, gaps between pieces, overlaps too long or needlessly short."""
+    lim = table(spark, d, "size_limits").select(F.trim(F.lower("source")).alias("_s"), "max_tokens", "overlap_tokens")
+    docs = table(spark, d, "documents").select("doc_id", F.trim(F.lower("source")).alias("_s")).join(F.broadcast(lim), "_s").drop("_s")
+    p = p8_pieces(spark, d).drop("piece").join(docs, "doc_id")
+    before = Window.partitionBy("doc_id").orderBy("piece_no")  # the pieces of one document
+    p = p.withColumn("_end", F.lag("end_char").over(before)).withColumn("_own", F.lag(F.col("size_tokens") - F.col("overlap_size")).over(before))
+    # a character has up to four bytes, so an overlap may be three short; a piece shorter than the overlap is repeated whole
+    odd = (F.col("overlap_size") > F.col("overlap_tokens")) | (F.col("overlap_size") < F.least(F.col("overlap_tokens") - 3, "_own"))
+    return p.groupBy("doc_id").agg(
+        F.sum(F.col("size_tokens") - F.col("overlap_size")).alias("own_tokens"), F.max("end_char").alias("end_char"), F.count_if(F.col("size_tokens") > F.col("max_tokens")).alias("n_over"),
+        F.count_if(F.col("own_start_char") != F.coalesce("_end", F.lit(0))).alias("n_gaps"), F.count_if((F.col("piece_no") > 0) & odd).alias("n_odd"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_ranking, p2_found, p2_neighbours, p3_found, p3_terms, p4_found, p4_restored, p5_found, p5_clean, p6_found, p6_assignment, p6_usage, p7_found, p7_selection, p7_shares, p8_found, p8_pieces]
+    names = [p1_found, p1_ranking, p2_found, p2_neighbours, p3_found, p3_terms, p4_found, p4_restored, p5_found, p5_clean, p6_found, p6_assignment, p6_usage, p6_balance, p7_found, p7_selection, p7_shares, p7_balance, p8_found, p8_pieces, p8_balance]
     return {f.__name__: f for f in names}
 
 
@@ -157,6 +188,16 @@ t AS (SELECT video, scene_id, 'subtitle' AS field_name, unnest(regexp_extract_al
 k AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT (video, scene_id)) AS records FROM t WHERE term <> '' GROUP BY ALL),
 r AS (SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.1 * (SELECT count(*) FROM scenes) THEN 'common' END AS band FROM k)
 """
+def _p2_side(name: str, vec: str) -> str:
+    return f"""{name} AS (SELECT ord, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM (SELECT ord, any_value({vec})::DOUBLE[] AS v FROM segment_vectors GROUP BY 1)
+      WHERE v IS NOT NULL AND NOT isnan(list_sum(v)) AND list_inner_product(v, v) > 0),
+{name}_near AS (SELECT a, b FROM (SELECT x.ord AS a, y.ord AS b, list_inner_product(x.u, y.u) AS c, row_number() OVER (PARTITION BY x.ord ORDER BY list_inner_product(x.u, y.u) DESC) AS k
+      FROM {name} x, {name} y WHERE x.ord <> y.ord) WHERE k <= 5 AND c >= 0.8)"""
+
+
+_P2 = f"""WITH {_p2_side('t', 'text_vec')}, {_p2_side('i', 'image_vec')}
+SELECT DISTINCT modality, least(a, b)::INT AS ord_a, greatest(a, b)::INT AS ord_b FROM (SELECT 'text' AS modality, * FROM t_near UNION ALL SELECT 'image', * FROM i_near)
+"""
 _SIZES = """
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS size, trim(lower(source)) AS source FROM documents)
 """
@@ -169,6 +210,12 @@ def oracle_sql() -> dict[str, str]:
         "p3_terms": _P3 + "SELECT field_name, term, occurrences, records, band FROM r",
         "p3_found": _P3 + "SELECT field_name, term, band FROM r WHERE band IS NOT NULL",
         "p6_found": _SIZES + "SELECT container_kind, doc_id FROM d JOIN (SELECT DISTINCT * FROM containers) c ON d.size > c.capacity_tokens",
+        "p2_found": _P2,
+        "p6_balance": _SIZES + "SELECT container_kind, sum(size)::BIGINT AS tokens, count(*) AS n_docs, 0 AS n_over, 0 AS n_divided FROM d, (SELECT DISTINCT * FROM containers) GROUP BY 1",
+        "p7_balance": _SIZES + """, s AS (SELECT source, sum(size) AS size FROM d GROUP BY 1), q AS (SELECT mix_id, m.source, target_share * size_factor * (SELECT sum(size) FROM d) AS quota, max_repeats * coalesce(s.size, 0) AS most
+            FROM mix_targets m LEFT JOIN s ON s.source = trim(lower(m.source))) SELECT mix_id, source, round(quota, 3) AS quota, round(least(quota, most), 3) AS flow, quota > most AS out_of_reach FROM q""",
+        "p8_balance": """SELECT doc_id, strlen(text) AS own_tokens, length(text) AS end_char, 0 AS n_over, 0 AS n_gaps, 0 AS n_odd
+            FROM documents d JOIN size_limits l ON trim(lower(l.source)) = trim(lower(d.source)) WHERE strlen(text) > max_tokens""",
         "p7_found": _SIZES + """SELECT mix_id, m.source FROM mix_targets m LEFT JOIN (SELECT source, sum(size) AS size FROM d GROUP BY 1) s ON s.source = trim(lower(m.source))
             WHERE target_share * size_factor * (SELECT sum(size) FROM d) > max_repeats * coalesce(s.size, 0)""",
         "p8_found": _SIZES + "SELECT doc_id FROM d JOIN size_limits l ON trim(lower(l.source)) = d.source WHERE d.size > max_tokens",
