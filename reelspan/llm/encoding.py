@@ -133,13 +133,23 @@ def looks_misread(token: str) -> bool:
 def _as_bytes(token: str) -> dict[bytes, list[str]]:
     """The bytes that a token may have been read from, and the codecs of ``READ`` that read them so."""
     out: dict[bytes, list[str]] = {}
-    for r in READ:
-        b = _to_bytes(token, r)
-        if b is not None:
-            out.setdefault(b, []).append(r)
+    can = -1
+    for c in _NON_ASCII.findall(token):
+        can &= _codecs_with(c)
+    for i, r in enumerate(READ):
+        if can >> i & 1:
+            b = _to_bytes(token, r)
+            if b is not None:
+                out.setdefault(b, []).append(r)
     return out
 
 
+@lru_cache(maxsize=70_000)
+def _codecs_with(c: str) -> int:
+    """The codecs of ``READ`` that have a character, as bits."""
+    return sum(1 << i for i, r in enumerate(READ) if _to_bytes(c, r) is not None)
+
+
 @lru_cache(maxsize=100)
 def _script(kind: str) -> frozenset[str]:
     """The script of a class of letters, of those that are not written together."""
@@ -498,11 +508,16 @@ class Model:
         """
         parts = re.split(r"([ \t\r\n\f\v]+)", text)
         options = [self.readings(p) if i % 2 == 0 and _NON_ASCII.search(p) else None for i, p in enumerate(parts)]
-        channels = sorted({c for o in options if o for c in o}, key=str)
+        gain: dict[tuple, float] = {}
+        for o in options:
+            for c, (cost, _) in o.items() if o else ():
+                gain[c] = gain.get(c, 0.0) + min(0.0, cost)
+        enter = {c: (ENTER_NARROW if c[1] in NARROW else ENTER_WIDE) + AGAIN * (len(c) > 2) for c in gain}
+        # a channel that all its tokens together do not pay for is on no cheapest way
+        channels = sorted((c for c in gain if gain[c] + enter[c] < 0), key=str)
         lost = [i for i, p in enumerate(parts) if LOST in p]
         if not channels:
             return text, len(lost), len(lost)
-        enter = {c: (ENTER_NARROW if c[1] in NARROW else ENTER_WIDE) + AGAIN * (len(c) > 2) for c in channels}
         states = [(), *channels]
         score = {s: 0.0 if not s else math.inf for s in states}
         back: list[dict] = []
