@@ -60,7 +60,7 @@ def _engine(spark: SparkSession, s: Settings, force: bool = False) -> en.Engine:
     image = _pair(index.clip_encoder, s.models.clip_model, "image", device=s.models.device)
     audio = _pair(index.clap_encoder, s.audio.model, "audio", rate=s.audio.sample_rate, device=s.models.device) if s.audio.enabled else None
     frames, sounds = en.samplers(videos, s, image and image[0], audio and audio[0])
-    return en.text_engine(spark, segments.read_parquet(spark, f"{root}/segments"), en.subtitle_lines(spark, s, videos), _encoder(s), f"{root}/index", s, force, image, audio, frames, sounds)
+    return en.text_engine(spark, segments.read_parquet(spark, f"{root}/segments"), en.subtitle_lines(spark, s, videos), _encoder(s), f"{root}/index", s, force, image, audio, frames, sounds, media.durations(videos))
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -69,7 +69,8 @@ class Engine:
     ``scenes``: ``ord, video, scene_id, scene_start, scene_end, subtitle, text_vec, image_vec, audio_vec``; ``lines``: as from
     ``line_seconds``; ``frames``, ``sounds``: ``video, t, vec`` on a grid, or None; ``encode``: from queries (``query_id,
     query_text``) to the same with ``text_vec, image_vec, audio_vec``; ``text_similarity``: of a query and a bin's lines; ``sample_frames``,
-    ``sample_sounds``: from the times of bins (``video, t`` or ``video, t, b_s, b_e``) to vectors (``video, t, vec``), decoded when they are asked for.
+    ``sample_sounds``: from the times of bins (``video, t`` or ``video, t, b_s, b_e``) to vectors (``video, t, vec``), decoded when they are asked for;
+    ``durations``: ``video, duration``; a video without one ends with its last scene.
     """
 
     spark: SparkSession
@@ -82,10 +83,14 @@ class Engine:
     text_similarity: Callable = rf.bag_cosine
     sample_frames: Callable[[DataFrame], DataFrame] | None = None
     sample_sounds: Callable[[DataFrame], DataFrame] | None = None
+    durations: DataFrame | None = None
 
     def search(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         found = hybrid_search(self.encode(queries), self.scenes, self.settings, top_k)
         extent = self.scenes.groupBy("video").agg(F.max("scene_end").alias("duration"))
+        if self.durations is not None:
+            known = self.durations.groupBy("video").agg(F.max("duration").alias("_known"))
+            extent = extent.join(known, "video", "left").select("video", F.coalesce("_known", "duration").alias("duration"))
         s = self.scenes.select("video", "scene_id", "scene_start", "scene_end", "subtitle").dropDuplicates(["video", "scene_id"])
         return found.join(s, ["video", "scene_id"]).join(extent, "video", "left").fillna(0.0, ["duration"])
 
@@ -146,7 +151,7 @@ class Engine:
         g.orderBy("rank_pos").limit(show_top).select("rank_pos", "video", fmt_time(F.col("refined_start")).alias("begins"), fmt_time(F.col("refined_end")).alias("ends"), F.round("confidence", 3).alias("confidence"), cut(F.col("subtitle"), 200).alias("subtitle")).show(show_top, truncate=60)
 
 
-def text_engine(spark: SparkSession, scenes: DataFrame, lines: DataFrame, encoder: index.Encoder, path: str, settings: Settings = Settings(), force: bool = False, image: tuple[index.Encoder, index.Encoder] | None = None, audio: tuple[index.Encoder, index.Encoder] | None = None, sample_frames: Callable | None = None, sample_sounds: Callable | None = None) -> Engine:
+def text_engine(spark: SparkSession, scenes: DataFrame, lines: DataFrame, encoder: index.Encoder, path: str, settings: Settings = Settings(), force: bool = False, image: tuple[index.Encoder, index.Encoder] | None = None, audio: tuple[index.Encoder, index.Encoder] | None = None, sample_frames: Callable | None = None, sample_sounds: Callable | None = None, durations: DataFrame | None = None) -> Engine:
     """An engine over text and, where there are encoders of (files, queries), over ``image`` and ``audio``: scenes (``SEGMENTS``) are encoded
     and kept at ``path`` while nothing changes. With ``audio``, the settings' labels nearest to a scene's sound become its ``audio_events``."""
     none = F.lit(None).cast(NONE)
@@ -180,7 +185,7 @@ def text_engine(spark: SparkSession, scenes: DataFrame, lines: DataFrame, encode
             out = index.encoded(out, "query_text", c, pair[1]) if pair else out.withColumn(c, none)
         return out
 
-    return Engine(spark, ready, lines, encode, settings=settings, text_similarity=index.similarity(encoder), sample_frames=sample_frames, sample_sounds=sample_sounds)
+    return Engine(spark, ready, lines, encode, settings=settings, text_similarity=index.similarity(encoder), sample_frames=sample_frames, sample_sounds=sample_sounds, durations=durations)
 
 
 def samplers(videos: DataFrame, settings: Settings, image: index.Encoder | None, audio: index.Encoder | None, grab: Callable | None = None, sound: Callable | None = None) -> tuple[Callable | None, Callable | None]:

@@ -164,6 +164,28 @@ def frame_scores(spark: SparkSession, videos: DataFrame, score: Callable[[str],
     return videos.select("video", "path").mapInPandas(run, FRAME_SCORES)
 
 
+def seconds_of(path: str) -> float | None:
+    """The length of a video by its frames and rate; None where OpenCV is missing or can't tell."""
+    try:
+        import cv2
+    except ImportError:
+        return None
+    cap = cv2.VideoCapture(path)
+    fps, n = cap.get(cv2.CAP_PROP_FPS) or 0, cap.get(cv2.CAP_PROP_FRAME_COUNT) or 0
+    cap.release()
+    return n / fps if fps > 0 and n > 0 else None
+
+
+def durations(videos: DataFrame, probe: Callable[[str], float | None] = seconds_of) -> DataFrame:
+    """``video, duration`` of ``videos`` (``video, path``) that ``probe`` can tell the length of, one file a row on the executors."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"video": f["video"], "duration": [probe(p) for p in f["path"]]}).dropna().astype({"duration": float})
+
+    return videos.select("video", "path").mapInPandas(run, "video string, duration double")
+
+
 def hsv_change(path: str) -> Iterator[tuple[int, float, float]]:
     """Mean change of hue, saturation and value from frame to frame; needs OpenCV."""
     import cv2

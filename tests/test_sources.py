@@ -183,6 +183,8 @@ def test_frames_and_sounds_of_bins_are_sampled_for_the_curves(spark, library):
     frames, sounds = en.samplers(videos, s, Files(), Files(), grab, sound)
     e = en.text_engine(spark, scenes, en.subtitle_lines(spark, s, videos), enc, str(library / "ix4"), s, image=(Files(), enc), audio=None, sample_frames=frames, sample_sounds=sounds)
     got = e.ground(spark.createDataFrame([(0, "scarf")], "query_id int, query_text string"), top_k=1).first()
+    e.durations = media.durations(videos, lambda p: 43.0 if "E02" in p else None)
+    assert e.search(spark.createDataFrame([(0, "scarf")], "query_id int, query_text string"), 1).first().duration == 43.0
     assert got.video == "Show S01E02.MP4" and got.refined_start <= 40 and got.refined_end >= 43.5
     assert sounds(spark.createDataFrame([("Show S01E01.mkv", 1.0, 0.0, 2.0), ("Show S01E02.MP4", 1.0, 0.0, 2.0)], "video string, t double, b_s double, b_e double")).count() == 1
     assert en.samplers(videos, s, None, None, grab, sound) == (None, None)
