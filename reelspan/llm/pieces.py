@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 #: Boundary strengths; a boundary belongs to the text before it.
 CHARACTER, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
-_END = regex.compile(
-    r"(?P<p>[^\S\n]*(?:\r?\n[^\S\n]*){2,})|(?P<l>[^\S\n]*\r?\n)|(?P<s>(?:[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？｡．]+[」』”’）]*)[^\S\n]*)|(?P<c>[,;:—–、，；：][^\S\n]*)|(?P<w>[^\S\n]+)"
-)
+_END = regex.compile(r"(?P<p>[^\S\n]*(?:\r?\n[^\S\n]*){2,})|(?P<l>[^\S\n]*\r?\n)|(?P<s>(?:[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？｡．]+[」』”’）]*)[^\S\n]*)")
+#: Boundaries inside of a sentence or line, looked for only where it is too large.
+_INNER = regex.compile(r"(?P<c>[,;:—–、，；：][^\S\n]*)|(?P<w>[^\S\n]+)")
 _KIND = {"p": PARAGRAPH, "l": LINE, "s": SENTENCE, "c": CLAUSE, "w": WORD}
 
 
@@ -48,19 +48,16 @@ def _atoms(text: str, most: int, at: np.ndarray) -> tuple[list[int], list[int],
             start = cut
         ends.append(end), sizes.append(byte[end] - byte[start]), kinds.append(kind)
 
-    start, i = 0, 0
-    while i < len(marks):
-        j = i
-        while marks[j][1] < SENTENCE and j + 1 < len(marks):
-            j += 1
-        end, kind = marks[j]
-        if byte[end] - byte[start] <= most:
-            add(start, end, kind)
-        else:
-            for e, k in marks[i : j + 1]:
-                add(start, e, k)
-                start = e
-        start, i = end, j + 1
+    start = 0
+    for end, kind in marks:
+        if byte[end] - byte[start] > most:
+            body = start + len(text[start:end].rstrip())  # blanks before the boundary belong to it
+            for m in _INNER.finditer(text, start, end):
+                if m.start() < body and m.end() < end:
+                    add(start, m.end(), _KIND[m.lastgroup])
+                    start = m.end()
+        add(start, end, kind)
+        start = end
     return ends, sizes, kinds
 
 
