@@ -383,7 +383,10 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, params: I
         return pa.table({"id": q.astype(np.int64), "neighbour": nb.astype(np.int64), "cosine": s.astype(np.float64)})
 
     placed = rows.mapInArrow(place, "list bigint, q_block int, m_block int, id bigint, role tinyint, vec binary, code binary")
-    found = placed.groupBy("list", "q_block", "m_block").applyInArrow(search, NEIGHBOURS)
+    # tasks in proportion to the rows, of about 32 MB, whatever the session's number of partitions is
+    tasks = max(spark.sparkContext.defaultParallelism, 1 + int(size[kept].sum()) * 4 * width // 32_000_000)
+    keys = ["list", "q_block", "m_block"]
+    found = placed.repartition(tasks, *keys).groupBy(*keys).applyInArrow(search, NEIGHBOURS)
     if (blocks > 1).any():  # the best of all blocks, k rows a query and block
         best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
         found = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
