@@ -23,12 +23,12 @@ class IndexParams:
     ``subspaces``: bytes of a code; ``rerank``: candidates of which the similarity is computed exactly."""
 
     lists_factor: float = 0.8
-    list_rows: int = 150
+    list_rows: int = 200
     max_lists: int = 8192
     sample: int = 16_384
     fit_rows: int = 16
-    margin: float = 0.08
-    max_copies: int = 6
+    margin: float = 0.10
+    max_copies: int = 8
     list_most: int = 12_000
     part_rows: int = 2_400
     part_sample: int = 20_000
