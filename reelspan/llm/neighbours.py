@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,8 @@ class IndexParams:
     vectors, and at most ``max_lists``, which bounds the centroids; ``sample``, ``fit_rows``: rows, and rows a list, that centroids and
     codebooks are fitted on (every row is indexed); ``margin``, ``max_copies``: a vector also stands in the lists whose centroid is by at
     most ``margin`` less similar than its nearest, up to ``max_copies`` lists; ``list_most``: rows that one task holds of a list. A larger
-    list is divided into lists of ``part_rows``, at most ``max_parts`` in all, and what is still larger is searched in blocks.
+    list is divided into lists of ``part_rows``, at most ``max_parts`` in all, and what is still larger is searched in blocks. Where there
+    are parts, a vector's lists are chosen by the same margin among the ``near_parts`` nearest parts of the ``near_lists`` nearest centroids.
     ``subspaces``: bytes of a code; ``rerank``: candidates of which the similarity is computed exactly."""
 
     lists_factor: float = 0.8
@@ -32,6 +35,8 @@ class IndexParams:
     list_most: int = 12_000
     part_rows: int = 2_400
     part_sample: int = 20_000
+    near_lists: int = 32
+    near_parts: int = 2
     max_parts: int = 65_536
     #: A list at home to fewer vectors, or to fewer than four times the wanted neighbours, is given up, and they go to the others.
     least_rows: int = 24
@@ -44,6 +49,15 @@ class IndexParams:
     seed: int = 42
 
 
+#: Rows of a batch, and entries of a table of rows by lists, that a task works on at once: a worker's memory is bounded by these, not by the batch.
+PIECE, ENTRIES = 2048, 4_000_000
+
+
+def _at_once(columns: int) -> int:
+    """Rows of a table of so many columns that are made at once."""
+    return max(16, min(4096, ENTRIES // max(1, columns)))
+
+
 def _matrix(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(usable rows, their vectors): not null, not all zero, only finite components, ``width`` long."""
     if isinstance(col, pa.ChunkedArray):
@@ -52,12 +66,30 @@ def _matrix(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros((0, width), np.float32)
     offsets = col.offsets.to_numpy()
     rows = np.nonzero(np.asarray(col.is_valid()) & (np.diff(offsets) == width))[0]
-    flat = col.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-    x = flat[offsets[rows][:, None] + np.arange(width)]
+    flat = col.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+    x = flat[(offsets[rows] - offsets[0])[:, None] + np.arange(width)]
     fine = np.isfinite(x).all(1) & x.any(1)
     return rows[fine], x[fine]
 
 
+def _usable(b: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the usable rows of a batch, piece by piece."""
+    for at in range(0, b.num_rows, PIECE):
+        piece = b.slice(at, PIECE)
+        use, x = _matrix(piece.column(1), width)
+        yield piece.column(0).to_numpy(zero_copy_only=False)[use], x
+
+
+def _usable_once(b: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_usable`` with each id of the batch once, its first row; ids ascend in a piece."""
+    had = np.zeros(0, np.int64)
+    for ids, x in _usable(b, width):
+        ids, first = np.unique(ids, return_index=True)
+        new = ~np.isin(ids, had)
+        had = np.concatenate([had, ids[new]])
+        yield ids[new], x[first[new]]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float32)
     n = np.linalg.norm(x, axis=1, keepdims=True)
@@ -69,11 +101,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / n).astype(np.float32)
 
 
-def _closest(x: np.ndarray, c: np.ndarray, block: int = 4096) -> np.ndarray:
+def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The row of ``c`` closest to each row of ``x``."""
-    half = 0.5 * (c * c).sum(1)
-    parts = [(x[i : i + block] @ c.T - half).argmax(1) for i in range(0, len(x), block)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    half, block, out = 0.5 * (c * c).sum(1), _at_once(len(c)), np.empty(len(x), np.int64)
+    for i in range(0, len(x), block):
+        near = x[i : i + block] @ c.T
+        near -= half
+        out[i : i + block] = near.argmax(1)
+    return out
 
 
 def kmeans(x: np.ndarray, k: int, iterations: int, rng: np.random.Generator, spherical: bool = False) -> np.ndarray:
@@ -92,9 +127,12 @@ def kmeans(x: np.ndarray, k: int, iterations: int, rng: np.random.Generator, sph
     return c
 
 
-def radii(rest: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
-    """Root mean square length of the residuals of each list; where there are none, of all."""
-    length = (rest * rest).sum(1)
+def radii(x: np.ndarray, c: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Root mean square distance of each list's rows from its row of ``c``; where there are none, of all."""
+    k, length = len(c), np.empty(len(x), np.float32)
+    for i in range(0, len(x), PIECE):
+        rest = x[i : i + PIECE] - c[near[i : i + PIECE]]
+        length[i : i + PIECE] = (rest * rest).sum(1)
     n = np.bincount(near, minlength=k)
     own = np.sqrt(np.bincount(near, weights=length, minlength=k) / np.maximum(n, 1))
     usual = float(np.sqrt(length.mean())) if len(length) and length.any() else 1.0
@@ -120,28 +158,51 @@ class Lists:
         return Lists(centres, scale, np.zeros(len(centres) + 1, np.int64), np.zeros((0, centres.shape[1]), np.float32))
 
     def nearest(self, x: np.ndarray, p: IndexParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, list, whether at home) of every list that the unit vectors ``x`` stand in."""
-        near = x @ self.centres.T
-        c = min(p.max_copies, len(self.centres))
-        lists = np.argpartition(-near, c - 1, axis=1)[:, :c] if c < len(self.centres) else np.repeat(np.arange(c)[None], len(x), 0)
-        sims = np.take_along_axis(near, lists, 1)
-        own = np.zeros(sims.shape, bool)
-        own[np.arange(len(x)), sims.argmax(1)] = True
-        row, slot = np.nonzero(sims >= sims.max(1, keepdims=True) - p.margin)
-        at, own = lists[row, slot], own[row, slot]
+        """(row, list, whether at home) of every list that the unit vectors ``x`` stand in; parts count as lists."""
+        c = min(p.near_lists if len(self.parts) else p.max_copies, len(self.centres))
+        lists, sims = np.empty((len(x), c), np.int64), np.empty((len(x), c), np.float32)
+        block = _at_once(len(self.centres))
+        for i in range(0, len(x), block):
+            far = x[i : i + block] @ self.centres.T
+            np.negative(far, out=far)
+            lists[i : i + block] = np.argpartition(far, c - 1, axis=1)[:, :c] if c < len(self.centres) else np.arange(c)
+            sims[i : i + block] = -np.take_along_axis(far, lists[i : i + block], 1)
+        if not np.diff(self.starts).any():
+            own = np.zeros(sims.shape, bool)
+            own[np.arange(len(x)), sims.argmax(1)] = True
+            row, slot = np.nonzero(sims >= sims.max(1, keepdims=True) - p.margin)
+            return row, lists[row, slot], own[row, slot]
+        row, at, sims = np.repeat(np.arange(len(x)), c), lists.ravel(), sims.ravel()
         split = np.diff(self.starts)[at] > 0
-        if not split.any():
-            return row, at, own
-        out = [(row[~split], at[~split], own[~split])]
-        for f in np.unique(at[split]):
-            some = np.nonzero(at == f)[0]
-            parts = self.parts[self.starts[f] : self.starts[f + 1]]
-            dist = 0.5 * (parts * parts).sum(1) - (x[row[some]] - self.centres[f]) @ parts.T
-            two = np.argsort(dist, axis=1, kind="stable")[:, :2]  # its own part and the next
-            first = len(self.centres) + self.starts[f]
-            for j in range(two.shape[1]):
-                out.append((row[some], first + two[:, j], own[some] & (j == 0)))
-        return tuple(np.concatenate(c) for c in zip(*out))
+        out = [(row[~split], at[~split], sims[~split], np.zeros(int((~split).sum()), np.int64))]
+        some = np.nonzero(split)[0]
+        some = some[np.argsort(at[some], kind="stable")]
+        for group in np.split(some, np.nonzero(np.diff(at[some]))[0] + 1) if len(some) else ():
+            f = at[group[0]]
+            parts, centre = self.parts[self.starts[f] : self.starts[f + 1]], self.centres[f]
+            half, along, length = 0.5 * (parts * parts).sum(1), parts @ centre, np.linalg.norm(centre + parts, axis=1)
+            block = _at_once(len(parts))
+            for i in range(0, len(group), block):
+                who = row[group[i : i + block]]
+                dots = (x[who] - centre) @ parts.T  # differences tell apart nearly equal vectors, similarities don't
+                near = np.argsort(half - dots, axis=1, kind="stable")[:, : p.near_parts]
+                for j in range(near.shape[1]):
+                    n = near[:, j]
+                    sim = (sims[group[i : i + block]] + dots[np.arange(len(who)), n] + along[n]) / np.maximum(length[n], 1e-12)
+                    out.append((who, len(self.centres) + self.starts[f] + n, sim, np.full(len(who), j)))
+        row, at, sims, turn = (np.concatenate(v) for v in zip(*out))
+        # at home in the most similar of the nearest parts of its lists and of those without parts
+        order = np.lexsort((-sims, turn > 0, row))
+        own = np.zeros(len(row), bool)
+        own[order[np.r_[True, np.diff(row[order]) > 0]]] = True
+        best = np.empty(len(x), sims.dtype)
+        best[row[own]] = sims[own]
+        order = np.lexsort((-sims, ~own, row))
+        order = order[sims[order] >= best[row[order]] - p.margin]
+        start = np.r_[True, np.diff(row[order]) > 0]
+        rank = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+        order = order[rank < p.max_copies]
+        return row[order], at[order], own[order]
 
     def keep(self, some: np.ndarray) -> Lists:
         """Only the lists marked in ``some``; a centroid stays as long as it or any part of it does."""
@@ -181,20 +242,23 @@ def encode(rest: np.ndarray, books: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_list(ids: np.ndarray, x: np.ndarray, rest: np.ndarray, codes: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_rest: np.ndarray, books: np.ndarray, k: int, rerank: int, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, neighbour ids, cosines), flat, of the queries ``q`` against the rows of one list; ``ids`` ascend.
+def search_list(x: np.ndarray, codes: np.ndarray, ids: np.ndarray, rows: np.ndarray, q_ids: np.ndarray, asking: np.ndarray, offset: Callable[[np.ndarray], np.ndarray], books: np.ndarray, k: int, rerank: int, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, neighbour ids, cosines), flat, of the queries ``asking`` against the members ``rows`` of one list, both rows of ``x``; ``ids`` ascend.
 
-    Each query has one table of inner products of its residual ``q_rest`` with all codewords; the sum of its entries at a row's
-    codes, with the length of the row's own residual (``rest``), is its estimated distance, which ranks the rows. The first ``rerank``
-    are compared exactly, by their difference, which tells apart nearly equal ones too.
+    Each query has one table of inner products of its residual (``offset``) with all codewords; the sum of its entries at a member's
+    codes, with the length of the member's own residual, is its estimated distance, which ranks the members. The first ``rerank``
+    are compared exactly, by their difference, which tells apart nearly equal ones too. ``x`` is not copied but for a block.
     """
     m, _, width = books.shape
     out_q, out_n, out_s = [], [], []
     r = min(rerank, len(ids))
-    half = 0.5 * (rest * rest).sum(1, keepdims=True)
+    half, codes = np.empty((len(ids), 1), np.float32), codes[rows]
+    for at in range(0, len(ids), PIECE):
+        rest = offset(x[rows[at : at + PIECE]])
+        half[at : at + PIECE] = 0.5 * (rest * rest).sum(1, keepdims=True)
     for at in range(0, len(q_ids), block) if r else ():
-        who, qs = q_ids[at : at + block], q[at : at + block]
-        parts = _pad(q_rest[at : at + block], m).reshape(len(who), m, width)
+        who, qs = q_ids[at : at + block], x[asking[at : at + block]]
+        parts = _pad(offset(qs), m).reshape(len(who), m, width)
         sums = np.repeat(half, len(who), 1)
         for j in range(m):
             sums -= np.take(books[j] @ np.ascontiguousarray(parts[:, j]).T, codes[:, j], axis=0)
@@ -203,7 +267,8 @@ def search_list(ids: np.ndarray, x: np.ndarray, rest: np.ndarray, codes: np.ndar
         sums[me[mine], np.nonzero(mine)[0]] = np.inf
         sums = np.ascontiguousarray(sums.T)
         near = np.argpartition(sums, r - 1, axis=1)[:, :r] if r < len(ids) else np.repeat(np.arange(r)[None], len(who), 0)
-        gap = x[near] - qs[:, None, :]
+        gap = x[rows[near]]
+        gap -= qs[:, None, :]
         dist = np.einsum("qrd,qrd->qr", gap, gap)
         dist[ids[near] == who[:, None]] = np.inf
         if k < r:
@@ -238,6 +303,14 @@ def _bytes(col: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(col.buffers()[2], np.uint8, count=len(col) * width, offset=int(start)).reshape(-1, width)
 
 
+def _units(col: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The vectors of a column of ``_binary(_planes(...))`` at length 1, piece by piece."""
+    out = np.empty((len(col), width), np.float32)
+    for at in range(0, len(col), PIECE):
+        out[at : at + PIECE] = _unit(_from_planes(_bytes(col.slice(at, PIECE), 4 * width)))
+    return out
+
+
 def _prints(x: np.ndarray) -> np.ndarray:
     import xxhash
 
@@ -272,8 +345,8 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, params: I
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            use, x = _matrix(b.column(1), width)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(use)), pa.array(_prints(x), pa.int64())], ["id", "print"])
+            for ids, x in _usable(b, width):
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_prints(x), pa.int64())], ["id", "print"])
 
     # without the vectors: ids and fingerprints
     seen = cut_lineage(rows.mapInArrow(scan, "id bigint, print bigint"))
@@ -288,30 +361,28 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, params: I
     lists, books = _fit(rows, n, width, p)
     box = spark.sparkContext.broadcast((lists, books, copies))
 
-    def standing(b: pa.RecordBatch, sent: set[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, vectors) of a batch that stand in lists: usable ones, each id once, of copies the first; ``sent``: repeated ids that the task has had."""
-        use, x = _matrix(b.column(1), width)
-        ids, first = np.unique(b.column(0).to_numpy(zero_copy_only=False)[use], return_index=True)
-        x = x[first]
-        if repeated and len(ids):
-            keep = np.array([i not in sent for i in ids.tolist()], bool)
-            ids, x = ids[keep], x[keep]
-            sent.update(repeated.intersection(ids.tolist()))
-        if copies and len(ids):
-            found = box.value[2]
-            keep = np.array([f not in found or found[f][0] == i for f, i in zip(_prints(x).tolist(), ids.tolist())], bool)
-            ids, x = ids[keep], x[keep]
-        return ids, x
+    def standing(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, vectors) of a task that stand in lists, piece by piece: usable ones, each id of a batch once, of copies the first; of repeated ids one."""
+        sent: set[int] = set()
+        for ids, x in (piece for b in batches for piece in _usable_once(b, width)):
+            if repeated and len(ids):
+                keep = np.array([i not in sent for i in ids.tolist()], bool)
+                ids, x = ids[keep], x[keep]
+                sent.update(repeated.intersection(ids.tolist()))
+            if copies and len(ids):
+                found = box.value[2]
+                keep = np.array([f not in found or found[f][0] == i for f, i in zip(_prints(x).tolist(), ids.tolist())], bool)
+                ids, x = ids[keep], x[keep]
+            if len(ids):
+                yield ids, x
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = box.value[0]
-        home, all_, sent = np.zeros(len(lists), np.int64), np.zeros(len(lists), np.int64), set()
-        for b in batches:
-            _, x = standing(b, sent)
-            if len(x):
-                _, at, own = lists.nearest(_unit(x), p)
-                all_ += np.bincount(at, minlength=len(lists))
-                home += np.bincount(at[own], minlength=len(lists))
+        home, all_ = np.zeros(len(lists), np.int64), np.zeros(len(lists), np.int64)
+        for _, x in standing(batches):
+            _, at, own = lists.nearest(_unit(x), p)
+            all_ += np.bincount(at, minlength=len(lists))
+            home += np.bincount(at[own], minlength=len(lists))
         some = np.nonzero(all_)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(home[some]), pa.array(all_[some])], ["list", "home", "n"])
 
@@ -339,32 +410,34 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, params: I
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, books, _ = box.value
-        blocks, sent = blocks_box.value, set()
-        for b in batches:
-            ids, x = standing(b, sent)
-            if not len(x):
-                continue
-            unit = _unit(x)
+        blocks, most = blocks_box.value, max(1, 8_000_000 // (4 * width))
+        for ids, x in standing(batches):
+            unit, planes = _unit(x), _planes(x)
             row, at, own = lists.nearest(unit, p)
-            codes = encode(lists.offset(unit[row], at), books)
+            codes = np.empty((len(row), books.shape[0]), np.uint8)
+            for i in range(0, len(row), PIECE):
+                codes[i : i + PIECE] = encode(lists.offset(unit[row[i : i + PIECE]], at[i : i + PIECE]), books)
             # a list in one block: (0, 0). Else a row goes as a member to every block of queries, and as a query to every block of members
-            many = blocks[at]
-            mine = ids[row] % many
-            rep = np.repeat(np.arange(len(row)), np.where(many == 1, 1, np.where(own, 2 * many, many)))
-            turn = np.arange(len(rep)) - np.repeat(np.r_[0, np.cumsum(np.bincount(rep, minlength=len(row)))[:-1]], np.bincount(rep, minlength=len(row)))
-            asks = (many[rep] > 1) & (turn >= many[rep])
-            q_block = np.where(asks, mine[rep], np.where(many[rep] > 1, turn, 0))
-            m_block = np.where(asks, turn - many[rep], np.where(many[rep] > 1, mine[rep], 0))
-            role = np.where(many[rep] == 1, np.where(own[rep], 3, 1), np.where(asks, 2, 1)).astype(np.int8)  # 1 a member, 2 a query, 3 both
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at[rep]), pa.array(q_block.astype(np.int32)), pa.array(m_block.astype(np.int32)), pa.array(ids[row][rep]), pa.array(role), _binary(_planes(x)[row][rep]), _binary(codes[rep])],
-                ["list", "q_block", "m_block", "id", "role", "vec", "code"],
-            )
+            times = np.where(blocks[at] == 1, 1, np.where(own, 2, 1) * blocks[at])
+            batch = (np.cumsum(times) - 1) // most
+            for some in np.split(np.arange(len(row)), np.nonzero(np.diff(batch))[0] + 1):
+                rep = np.repeat(some, times[some])
+                turn = np.arange(len(rep)) - np.repeat(np.cumsum(times[some]) - times[some], times[some])
+                many = blocks[at[rep]]
+                mine = ids[row[rep]] % many
+                asks = (many > 1) & (turn >= many)
+                q_block = np.where(asks, mine, np.where(many > 1, turn, 0))
+                m_block = np.where(asks, turn - many, np.where(many > 1, mine, 0))
+                role = np.where(many == 1, np.where(own[rep], 3, 1), np.where(asks, 2, 1)).astype(np.int8)  # 1 a member, 2 a query, 3 both
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at[rep]), pa.array(q_block.astype(np.int32)), pa.array(m_block.astype(np.int32)), pa.array(ids[row[rep]]), pa.array(role), _binary(planes[row[rep]]), _binary(codes[rep])],
+                    ["list", "q_block", "m_block", "id", "role", "vec", "code"],
+                )
 
     def search(group: pa.Table) -> pa.Table:
         lists, books, copies = box.value
         ids, role = group["id"].to_numpy(), group["role"].to_numpy()
-        unit = _unit(_from_planes(_bytes(group["vec"], 4 * width)))
+        unit = _units(group["vec"], width)
         codes = _bytes(group["code"], books.shape[0])
         rows = np.nonzero(role & 1)[0]
         m_ids, first = np.unique(ids[rows], return_index=True)
@@ -377,7 +450,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, params: I
             left = ~np.isin(q_ids, np.fromiter(many, np.int64))
             q_ids, asking = q_ids[left], asking[left]
         which = group["list"][0].as_py()
-        q, nb, s = search_list(m_ids, unit[rows], lists.offset(unit[rows], np.full(len(rows), which)), codes[rows], q_ids, unit[asking], lists.offset(unit[asking], np.full(len(asking), which)), books, k, p.rerank)
+        q, nb, s = search_list(unit, codes, m_ids, rows, q_ids, asking, lambda x: lists.offset(x, np.full(len(x), which)), books, k, p.rerank)
         if many:
             q, nb, s = _expand(q, nb, s, many, k)
         return pa.table({"id": q.astype(np.int64), "neighbour": nb.astype(np.int64), "cosine": s.astype(np.float64)})
@@ -390,6 +463,13 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, params: I
     if (blocks > 1).any():  # the best of all blocks, k rows a query and block
         best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
         found = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+    # the exchanged vectors go before another search begins: their files stay until the driver has collected what refers to them, in turns
+    found = cut_lineage(found)
+    del placed
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     if not copies:
         return found
     # of the many copies of one vector each has the first k others
@@ -411,12 +491,10 @@ def _sampled(rows: DataFrame, share: float, width: int, seed: int, key: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had: set[int] = set()
-        for b in batches:
-            use, x = _matrix(b.column(1), width)
-            ids, first = np.unique(b.column(0).to_numpy(zero_copy_only=False)[use], return_index=True)
+        for ids, x in (piece for b in batches for piece in _usable_once(b, width)):
             new = np.array([i not in had for i in ids.tolist()], bool)
             had.update(ids.tolist())
-            ids, x = ids[new], x[first[new]]
+            ids, x = ids[new], x[new]
             of = key(_unit(x), (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) / 2**53) if key and len(x) else np.zeros(len(x), np.int64)
             if (of >= 0).any():
                 yield pa.RecordBatch.from_arrays([pa.array(of[of >= 0]), _binary(_planes(x[of >= 0]))], ["key", "vec"])
@@ -431,10 +509,10 @@ def _fit(rows: DataFrame, n: int, width: int, p: IndexParams) -> tuple[Lists, np
     while not len(got):  # a few vectors, none of them picked
         got = _sampled(rows, share, width, p.seed).toArrow()["vec"]
         share *= 4
-    x = _unit(_from_planes(_bytes(got, 4 * width)))
+    x = _units(got, width)
     centres = kmeans(x, min(total, len(x)), p.iterations, np.random.default_rng(p.seed), spherical=True)
     near = _closest(x, centres)
-    lists = Lists.of(centres, radii(x - centres[near], near, len(centres)))
+    lists = Lists.of(centres, radii(x, centres, near))
     some = np.random.default_rng(p.seed).permutation(len(x))[: p.sample]
     return lists, codebooks(lists.offset(x[some], near[some]), p)
 
@@ -450,17 +528,17 @@ def _divided(rows: DataFrame, lists: Lists, size: np.ndarray, width: int, p: Ind
 
     def key(x: np.ndarray, chance: np.ndarray) -> np.ndarray:
         centres, number, _, share = box.value
-        of = number[(x @ centres.T).argmax(1)]
+        of = number[_closest(x, centres)]
         return np.where(chance < share[of], of, -1)
 
     def fit(group: pa.Table) -> pa.Table:
         centres, number, want, _ = box.value
         f = group["key"][0].as_py()
-        x = _unit(_from_planes(_bytes(group["vec"], 4 * width)))
-        rest = x - centres[np.nonzero(number == f)[0][0]]
+        rest = _units(group["vec"], width)
+        rest -= centres[np.nonzero(number == f)[0][0]]
         c = kmeans(rest, int(min(want[f], len(rest))), p.iterations, np.random.default_rng(p.seed))
         near = _closest(rest, c)
-        return pa.table({"key": pa.array([f] * len(c), pa.int64()), "part": _binary(c.astype(np.float32).view(np.uint8).reshape(len(c), -1)), "radius": pa.array(radii(rest - c[near], near, len(c)), pa.float32())})
+        return pa.table({"key": pa.array([f] * len(c), pa.int64()), "part": _binary(c.astype(np.float32).view(np.uint8).reshape(len(c), -1)), "radius": pa.array(radii(rest, c, near), pa.float32())})
 
     # a row a part, at most max_parts
     made = _sampled(rows, 1.0, width, p.seed, key).groupBy("key").applyInArrow(fit, "key bigint, part binary, radius float").toArrow()

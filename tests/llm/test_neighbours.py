@@ -1,9 +1,11 @@
 """The neighbour index: recall against brute force, copies, unusable vectors, small tables."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
-from reelspan.llm.neighbours import IndexParams, codebooks, encode, kmeans, nearest
+from reelspan.llm.neighbours import IndexParams, Lists, codebooks, encode, kmeans, nearest
 
 DDL = "id int, v array<float>, vec string, neighbour int"
 
@@ -99,3 +101,48 @@ def test_an_id_with_a_third_of_all_rows_counts_once(spark):
     for r in nearest(frame(spark, rows), "id", "v").collect():
         got.setdefault(r.id, []).append(r.neighbour)
     assert set(got) == set(range(60)) and all(len(set(v)) == 5 for v in got.values())
+
+
+@pytest.mark.parametrize("lists", [2000, 8000])
+def test_the_lists_of_a_whole_batch_are_found_in_bounded_memory(lists):
+    rng = np.random.default_rng(9)
+    x, c = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(n, 16)).astype(np.float32) for n in (10_000, lists)))
+    of = Lists.of(c, np.ones(lists, np.float32))
+    tracemalloc.start()
+    row, at, own = of.nearest(x, IndexParams(margin=0.02))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 100  # MB; at 6 GB of vectors two workers share 900 MB beside their executor's heap
+    for i in range(0, 10_000, 500):
+        sims = c @ x[i]
+        best = [j for j in np.argsort(-sims)[:8] if sims[j] >= sims.max() - 0.02]
+        assert set(at[row == i]) == set(best) and at[(row == i) & own].tolist() == best[:1]
+
+
+def test_a_batch_of_many_pieces_gives_each_id_once_and_the_pairs_of_its_first_rows(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(5000, 8)).astype(np.float32)
+    rows = list(enumerate(x)) + list(enumerate(x[:2000])) + [(10_000, None), (10_001, [float("nan")] * 8)]
+    got = {}
+    for r in nearest(frame(spark, rows).coalesce(1), "id", "v").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert set(got) == set(range(5000)) and all(len(set(v)) == len(v) == 5 and i not in v for i, v in got.items())
+
+
+def test_divided_lists_take_few_copies_and_all_near_vectors():
+    rng = np.random.default_rng(11)
+    unit = lambda v: (v / np.linalg.norm(v, axis=-1, keepdims=True)).astype(np.float32)
+    coarse = unit(rng.normal(size=(20, 32)))
+    parts = rng.normal(scale=0.15, size=(20, 20, 32)).astype(np.float32)
+    of = Lists(coarse, np.ones(420, np.float32), np.arange(0, 401, 20), parts.reshape(-1, 32))
+    x = unit((coarse[:, None] + parts).reshape(-1, 32)[np.repeat(np.arange(400), 10)] + 0.08 * rng.normal(size=(4000, 32)))
+    row, at, own = of.nearest(x, IndexParams())
+    assert own.sum() == 4000 and len(set(zip(row.tolist(), at.tolist()))) == len(row) and (at >= 20).all()
+    assert np.bincount(row).max() <= 8
+    home = np.empty(4000, np.int64)
+    home[row[own]] = at[own]
+    stands = set(zip(row.tolist(), at.tolist()))
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+    close = np.argwhere(sims >= 0.9)
+    assert len(close) and np.mean([(b, home[a]) in stands for a, b in close.tolist()]) > 0.97
